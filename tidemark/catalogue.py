@@ -4,11 +4,497 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .functions import hashing, udf
+from .functions import json as js
+from .operators import debezium, joins, topn, updating, windows
+from .plans.script import Engine
+from .session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events")
+
+
+BIN = "time_bucket(INTERVAL '{w}', ts, TIMESTAMP '1970-01-01')"
+HOUR, DAY = BIN.format(w="1 hour"), BIN.format(w="1 day")
+def bounds() -> list:
+    return [F.col("window.start").alias("start"), F.col("window.end").alias("end")]
+
+
+# projection, filter, scalar functions
+
+
+@query("SELECT event_id, user_id, event_type, CAST(round_even(value, 0) AS INTEGER) AS value_int FROM events")
+def scan_project(spark, d):
+    return events(spark, d).select("event_id", "user_id", "event_type", F.bround("value").cast("int").alias("value_int"))
+
+
+@query("SELECT event_id, value FROM events WHERE (event_type IN ('click', 'view') OR event_type LIKE 'p%') AND value BETWEEN 10 AND 80 AND user_id IS NOT NULL")
+def filter_predicate(spark, d):
+    e = F.col("event_type")
+    return events(spark, d).where((e.isin("click", "view") | e.like("p%")) & F.col("value").between(10, 80) & F.col("user_id").isNotNull()).select("event_id", "value")
+
+
+@query("SELECT event_id, value * 2 + 1 AS doubled, ts + INTERVAL 1 HOUR AS later FROM events")
+def virtual_field(spark, d):
+    return events(spark, d).select("event_id", (F.col("value") * 2 + 1).alias("doubled"), F.expr("ts + interval 1 hour").alias("later"))
+
+
+@query("""SELECT p_partkey, upper(p_name) AS up, lower(p_brand) AS low, length(p_name)::INTEGER AS len, substr(p_name, 2, 3) AS sub, replace(p_type, ' ', '_') AS rep,
+    split_part(p_type, ' ', 1) AS part1, lpad(p_brand, 12, '*') AS padded, reverse(p_name) AS rev, starts_with(p_name, 'P') AS starts, concat(p_brand, '/', p_type) AS both,
+    strpos(p_name, 'a')::INTEGER AS pos, trim('  x ') AS trimmed, repeat('ab', 2) AS rp, translate(p_brand, 'B', 'b') AS tr, regexp_replace(p_name, '[0-9]+', '#', 'g') AS rx, ascii(p_name)::INTEGER AS asc1, left(p_name, 3) AS l3, right(p_name, 3) AS r3 FROM part""")
+def scalar_string(spark, d):
+    return table(spark, d, "part").selectExpr("p_partkey", "upper(p_name) AS up", "lower(p_brand) AS low", "char_length(p_name) AS len", "substr(p_name, 2, 3) AS sub", "replace(p_type, ' ', '_') AS rep", "split_part(p_type, ' ', 1) AS part1", "lpad(p_brand, 12, '*') AS padded", "reverse(p_name) AS rev", "startswith(p_name, 'P') AS starts", "concat(p_brand, '/', p_type) AS both", "locate('a', p_name) AS pos", "trim('  x ') AS trimmed", "repeat('ab', 2) AS rp", "translate(p_brand, 'B', 'b') AS tr", "regexp_replace(p_name, '[0-9]+', '#') AS rx", "ascii(p_name) AS asc1", "left(p_name, 3) AS l3", "right(p_name, 3) AS r3")
+
+
+@query("""SELECT l_orderkey, l_linenumber, abs(-l_quantity) AS a, ceil(l_tax * 10)::BIGINT AS c, floor(l_extendedprice)::BIGINT AS f, round(sqrt(l_quantity), 6) AS s, round(power(l_quantity, 2), 6) AS p,
+    round(ln(l_quantity), 6) AS ln1, round(log10(l_quantity), 6) AS lg, round(exp(l_discount), 6) AS ex, sign(l_discount)::INTEGER AS sg, l_orderkey % 7 AS md, gcd(l_orderkey, 12)::BIGINT AS g, round(sin(l_quantity), 6) AS sn, (l_orderkey // 3)::BIGINT AS dv FROM lineitem""")
+def scalar_math(spark, d):
+    gcd = "aggregate(array(12, 6, 4, 3, 2, 1), 0L, (a, x) -> if(a = 0 and l_orderkey % x = 0, bigint(x), a)) AS g"
+    return table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "abs(-l_quantity) AS a", "ceil(l_tax * 10) AS c", "floor(l_extendedprice) AS f", "round(sqrt(l_quantity), 6) AS s", "round(power(l_quantity, 2), 6) AS p", "round(ln(l_quantity), 6) AS ln1", "round(log10(l_quantity), 6) AS lg", "round(exp(l_discount), 6) AS ex", "int(sign(l_discount)) AS sg", "l_orderkey % 7 AS md", gcd, "round(sin(l_quantity), 6) AS sn", "l_orderkey div 3 AS dv")
+
+
+@query("""SELECT event_id, extract(year FROM ts)::INTEGER AS y, extract(month FROM ts)::INTEGER AS m, extract(hour FROM ts)::INTEGER AS h, date_trunc('hour', ts)::TIMESTAMP AS hour, CAST(ts AS DATE) AS day,
+    strftime(ts, '%Y-%m-%d %H:%M') AS txt, floor(epoch(ts))::BIGINT AS unix, make_date(2024, 1, 2) AS md, extract(doy FROM ts)::INTEGER AS doy FROM events""")
+def scalar_date(spark, d):
+    return events(spark, d).selectExpr("event_id", "year(ts) AS y", "month(ts) AS m", "hour(ts) AS h", "cast(date_trunc('hour', ts) as timestamp_ntz) AS hour", "cast(ts as date) AS day", "date_format(ts, 'yyyy-MM-dd HH:mm') AS txt", "unix_timestamp(cast(ts as timestamp)) AS unix", "make_date(2024, 1, 2) AS md", "dayofyear(ts) AS doy")
+
+
+@query("SELECT event_id, CASE WHEN value > 50 THEN 'high' WHEN value > 20 THEN 'mid' ELSE 'low' END AS band, coalesce(nullif(event_type, 'click'), 'none') AS kind, greatest(value, 10) AS g, least(value, 10) AS l FROM events")
+def scalar_cond(spark, d):
+    return events(spark, d).selectExpr("event_id", "CASE WHEN value > 50 THEN 'high' WHEN value > 20 THEN 'mid' ELSE 'low' END AS band", "coalesce(nullif(event_type, 'click'), 'none') AS kind", "greatest(value, 10D) AS g", "least(value, 10D) AS l")
+
+
+@query("SELECT vec_id, len(embedding)::INTEGER AS n, embedding[1]::DOUBLE AS first, list_contains([label, 3], 3) AS has3, list_position([1, 2, label], 2)::BIGINT AS pos, array_to_string(list_sort([label, 5, 1]), ',') AS sorted FROM embeddings")
+def scalar_array(spark, d):
+    return table(spark, d, "embeddings").selectExpr("vec_id", "size(embedding) AS n", "double(element_at(embedding, 1)) AS first", "array_contains(array(label, 3), 3) AS has3", "array_position(array(1, 2, label), 2) AS pos", "array_join(array_sort(array(label, 5, 1)), ',') AS sorted")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k_int FROM events")
+def json_extract(spark, d):
+    return events(spark, d).select("event_id", F.get_json_object("props", "$.k").alias("k"), js.json_get_int("props", "k").alias("k_int"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, '\"' || event_type || '\"' AS quoted FROM events")
+def json_first_object(spark, d):
+    x = events(spark, d).withColumn("_o", F.to_json(F.struct("event_type")))
+    return x.select("event_id", js.get_first_json_object("props", "$.k").alias("k"), js.get_first_json_object("_o", "$.event_type").alias("quoted"))
+
+
+@query("SELECT event_id, CASE WHEN json_type(props, '$.k') = 'VARCHAR' THEN json_extract_string(props, '$.k') END AS k, event_type AS kind FROM events")
+def json_extract_string(spark, d):
+    x = events(spark, d).withColumn("_o", F.to_json(F.struct("event_type")))
+    return x.select("event_id", js.extract_json_string("props", "$.k").alias("k"), js.extract_json_string("_o", "$.event_type").alias("kind"))
+
+
+@query("SELECT event_id, sha256(event_type) AS sha, md5(event_type) AS m FROM events")
+def hash_sha256(spark, d):
+    return events(spark, d).select("event_id", F.sha2("event_type", 256).alias("sha"), F.md5("event_type").alias("m"))
+
+
+@query("SELECT count(DISTINCT (user_id, event_type))::BIGINT AS n FROM events")
+def multi_hash(spark, d):
+    return events(spark, d).select(hashing.multi_hash("user_id", "event_type").alias("h")).agg(F.count_distinct("h").alias("n"))
+
+
+@query("""SELECT o_orderkey, (extract(year FROM o_orderdate) - 1970)::INTEGER AS y, ((extract(year FROM o_orderdate) - 1970) * 12 + extract(month FROM o_orderdate) - 1)::INTEGER AS m, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))::INTEGER AS dd, (o_orderkey - o_orderkey % 10)::BIGINT AS t, substr(o_orderpriority, 1, 2) AS s FROM orders""")
+def partition_transforms(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", hashing.years("o_orderdate").alias("y"), hashing.months("o_orderdate").alias("m"), hashing.days("o_orderdate").alias("dd"), hashing.truncate("o_orderkey", 10, numeric=True).cast("long").alias("t"), hashing.truncate("o_orderpriority", 2).alias("s"))
+
+
+# windows and aggregates
+
+
+@query(f"SELECT {HOUR} AS start, event_type, count(*)::BIGINT AS count FROM events GROUP BY ALL")
+def tumble_count(spark, d):
+    return windows.window_agg(events(spark, d), windows.tumble("ts", "1 hour"), ["event_type"], F.count("*").alias("count")).select("window.start", "event_type", "count")
+
+
+@query(f"SELECT {BIN.format(w='7 days')} AS start, count(*)::BIGINT AS count FROM events GROUP BY ALL")
+def tumble_week(spark, d):
+    return windows.window_agg(events(spark, d), windows.tumble("ts", "7 days"), [], F.count("*").alias("count")).select("window.start", "count")
+
+
+HOP = f"""WITH p AS (SELECT {BIN.format(w='15 minutes')} AS b, event_type, value FROM events), w AS (SELECT b - INTERVAL 15 MINUTE * i AS start, event_type, value FROM p, range(4) r(i))
+SELECT start, start + INTERVAL 1 HOUR AS "end", event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total, min(value) AS lo, max(value) AS hi, round(avg(value), 6) AS mean FROM w GROUP BY ALL"""
+
+
+@query(HOP)
+def hop_agg(spark, d):
+    v = windows.window_agg(events(spark, d), windows.hop("ts", "15 minutes", "1 hour"), ["event_type"], F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.round(F.avg("value"), 6).alias("mean"))
+    return v.select(*bounds(), "event_type", "n", "total", "lo", "hi", "mean")
+
+
+@query(HOP)
+def hop_two_step(spark, d):
+    v = windows.hop_two_step(events(spark, d), "ts", "15 minutes", "1 hour", ["event_type"], {"n": ("count", "value"), "total": ("sum", "value"), "lo": ("min", "value"), "hi": ("max", "value"), "mean": ("avg", "value")})
+    return v.select(*bounds(), "event_type", "n", F.round("total", 4).alias("total"), "lo", "hi", F.round("mean", 6).alias("mean"))
+
+
+@query(f"SELECT {HOUR} AS start, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def hop_equals_tumble(spark, d):
+    return windows.window_agg(events(spark, d), windows.hop("ts", "1 hour", "1 hour"), [], F.count("*").alias("n")).select("window.start", "n")
+
+
+def _session_sql(key: str, gap: str) -> str:
+    part = f"PARTITION BY {key}" if key else ""
+    return f"""WITH a AS (SELECT *, CASE WHEN ts - lag(ts) OVER ({part} ORDER BY ts, event_id) <= INTERVAL '{gap}' THEN 0 ELSE 1 END AS brk FROM events),
+b AS (SELECT *, sum(brk) OVER ({part} ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM a)
+SELECT {key + ',' if key else ''} min(ts) AS start, max(ts) + INTERVAL '{gap}' AS "end", count(*)::BIGINT AS n FROM b GROUP BY {key + ',' if key else ''} s"""
+
+
+@query(_session_sql("user_id", "6 hours"))
+def session_count(spark, d):
+    return windows.window_agg(events(spark, d), windows.session("ts", "6 hours"), ["user_id"], F.count("*").alias("n")).select("user_id", *bounds(), "n")
+
+
+@query(_session_sql("", "5 minutes"))
+def session_global(spark, d):
+    return windows.window_agg(events(spark, d), windows.session("ts", "5 minutes"), [], F.count("*").alias("n")).select(*bounds(), "n")
+
+
+@query(f"WITH u AS (SELECT {HOUR} AS start, user_id, count(*) AS n FROM events GROUP BY ALL) SELECT start, max(n)::BIGINT AS most, count(*)::BIGINT AS users FROM u GROUP BY start")
+def nested_window_agg(spark, d):
+    u = windows.window_agg(events(spark, d), windows.tumble("ts", "1 hour"), ["user_id"], F.count("*").alias("n"))
+    return u.groupBy("window").agg(F.max("n").alias("most"), F.count("*").alias("users")).select("window.start", "most", "users")
+
+
+@query(f"WITH u AS (SELECT {HOUR} AS h, count(*) AS n FROM events GROUP BY ALL) SELECT {DAY.replace('ts', 'h')} AS start, max(n)::BIGINT AS peak FROM u GROUP BY ALL")
+def nested_rewindow(spark, d):
+    u = windows.window_agg(events(spark, d), windows.tumble("ts", "1 hour"), [], F.count("*").alias("n"))
+    return u.groupBy(windows.rewindow(u, "1 day").alias("w")).agg(F.max("n").alias("peak")).select("w.start", "peak")
+
+
+@query(f"SELECT {HOUR} AS start, count(DISTINCT user_id)::BIGINT AS users FROM events GROUP BY ALL")
+def window_count_distinct(spark, d):
+    return windows.window_agg(events(spark, d), windows.tumble("ts", "1 hour"), [], F.count_distinct("user_id").alias("users")).select("window.start", "users")
+
+
+@query("""SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS co, round(covar_pop(l_quantity, l_tax), 6) AS cp, round(covar_samp(l_quantity, l_tax), 6) AS cs, round(stddev_samp(l_quantity), 6) AS ss, round(stddev_pop(l_quantity), 6) AS sp,
+    round(var_samp(l_tax), 6) AS vs, round(var_pop(l_tax), 6) AS vp, round(regr_slope(l_extendedprice, l_quantity), 4) AS sl, round(regr_intercept(l_extendedprice, l_quantity), 2) AS ic, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, regr_count(l_extendedprice, l_quantity)::BIGINT AS rc,
+    round(regr_avgx(l_tax, l_quantity), 6) AS ax, round(regr_avgy(l_tax, l_quantity), 6) AS ay, round(regr_sxx(l_tax, l_quantity), 2) AS sxx, round(regr_syy(l_tax, l_quantity), 2) AS syy, round(regr_sxy(l_tax, l_quantity), 2) AS sxy,
+    bit_and(l_linenumber) AS ba, bit_or(l_linenumber) AS bo, bit_xor(l_linenumber) AS bx, bool_and(l_quantity > 0) AS al, bool_or(l_tax > 0.07) AS an, median(l_quantity) AS md FROM lineitem GROUP BY l_returnflag""")
+def stat_aggs(spark, d):
+    r = lambda f, n=6: F.round(f, n)
+    q, p, t = "l_quantity", "l_extendedprice", "l_tax"
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(
+        r(F.corr(q, p)).alias("co"), r(F.covar_pop(q, t)).alias("cp"), r(F.covar_samp(q, t)).alias("cs"), r(F.stddev_samp(q)).alias("ss"), r(F.stddev_pop(q)).alias("sp"), r(F.var_samp(t)).alias("vs"), r(F.var_pop(t)).alias("vp"),
+        r(F.regr_slope(p, q), 4).alias("sl"), r(F.regr_intercept(p, q), 2).alias("ic"), r(F.regr_r2(p, q)).alias("r2"), F.regr_count(p, q).alias("rc"), r(F.regr_avgx(t, q)).alias("ax"), r(F.regr_avgy(t, q)).alias("ay"), r(F.regr_sxx(t, q), 2).alias("sxx"), r(F.regr_syy(t, q), 2).alias("syy"), r(F.regr_sxy(t, q), 2).alias("sxy"),
+        F.bit_and("l_linenumber").alias("ba"), F.bit_or("l_linenumber").alias("bo"), F.bit_xor("l_linenumber").alias("bx"), F.bool_and(F.col(q) > 0).alias("al"), F.bool_or(F.col(t) > 0.07).alias("an"), F.median(q).alias("md"),
+    )
+
+
+@query("SELECT count(*)::BIGINT AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem")
+def agg_global(spark, d):
+    return table(spark, d, "lineitem").agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*)::BIGINT AS n, round(avg(l_quantity), 6) AS q, round(sum(l_extendedprice), 2) AS total FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
+def agg_grouped(spark, d):
+    return table(spark, d, "lineitem").where("l_shipdate <= timestamp_ntz '1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 6).alias("q"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+
+
+@query("SELECT user_id, count(*)::BIGINT AS n FROM events GROUP BY user_id HAVING count(*) > 12")
+def agg_having(spark, d):
+    return events(spark, d).groupBy("user_id").agg(F.count("*").alias("n")).where("n > 12")
+
+
+@query("SELECT user_id, arg_min(value, (ts, event_id)) AS first_value, arg_max(value, (ts, event_id)) AS last_value FROM events GROUP BY user_id")
+def agg_first_last(spark, d):
+    at = F.struct("ts", "event_id")
+    return events(spark, d).groupBy("user_id").agg(F.min_by("value", at).alias("first_value"), F.max_by("value", at).alias("last_value"))
+
+
+@query()
+def agg_approx(spark, d):
+    return events(spark, d).groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"), F.percentile_approx("value", 0.5).alias("median"), F.percentile("value", 0.9, F.col("user_id") % 3 + 1).alias("weighted"))
+
+
+@query("SELECT user_id, unnest(list_sort(list(event_id))) AS event_id FROM events GROUP BY user_id")
+def agg_collect_unnest(spark, d):
+    return events(spark, d).groupBy("user_id").agg(F.collect_list("event_id").alias("ids")).select("user_id", F.explode("ids").alias("event_id"))
+
+
+@query("SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS ids FROM events GROUP BY user_id")
+def agg_string(spark, d):
+    return events(spark, d).groupBy("user_id").agg(F.expr("listagg(cast(event_id as string), ',') within group (order by event_id)").alias("ids"))
+
+
+@query("WITH u AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) SELECT count(*)::BIGINT AS users, sum(n)::BIGINT AS total FROM u WHERE n > 3")
+def agg_over_agg(spark, d):
+    return events(spark, d).groupBy("user_id").agg(F.count("*").alias("n")).where("n > 3").agg(F.count("*").alias("users"), F.sum("n").alias("total"))
+
+
+# joins
+
+
+def _counts(spark: SparkSession, d: str, kind: str, name: str) -> DataFrame:
+    e = events(spark, d).where(F.col("event_type") == kind)
+    return windows.window_agg(e, windows.tumble("ts", "6 hours"), ["user_id"], F.count("*").alias(name))
+
+
+def _window_join_sql(how: str) -> str:
+    w = BIN.format(w="6 hours")
+    side = lambda t, n: f"(SELECT {w} AS start, user_id, count(*)::BIGINT AS {n} FROM events WHERE event_type = '{t}' GROUP BY ALL)"
+    return f"SELECT start, user_id, clicks, views FROM {side('click', 'clicks')} {how} JOIN {side('view', 'views')} USING (start, user_id)"
+
+
+def _window_join(how: str) -> Query:
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        return joins.window_join(_counts(spark, d, "click", "clicks"), _counts(spark, d, "view", "views"), ["user_id"], how).select("window.start", "user_id", "clicks", "views")
+
+    f.__name__ = f"join_window_{how}"
+    return f
+
+
+for _how in ("inner", "left", "right", "full"):
+    query(_window_join_sql(_how))(_window_join(_how))
+
+
+@query(f"WITH c AS (SELECT {HOUR} AS start, user_id, count(*)::BIGINT AS n FROM events GROUP BY ALL), m AS (SELECT start, max(n) AS most FROM c GROUP BY start) SELECT c.start, user_id, n FROM c JOIN m ON c.start = m.start AND n >= most")
+def join_window_nonequi(spark, d):
+    c = windows.window_agg(events(spark, d), windows.tumble("ts", "1 hour"), ["user_id"], F.count("*").alias("n"))
+    m = c.groupBy("window").agg(F.max("n").alias("most"))
+    return joins.window_join(c, m, [], condition=F.col("l.n") >= F.col("r.most")).select("l.window.start", "user_id", "n")
+
+
+@query("SELECT o_orderpriority, count(*)::BIGINT AS n, round(sum(l_quantity), 2) AS q FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderpriority")
+def join_unwindowed_inner(spark, d):
+    o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
+    return joins.updating_join(o, l, o.o_orderkey == l.l_orderkey).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("q"))
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def lookup_inner(spark, d):
+    return joins.lookup_join(table(spark, d, "orders"), table(spark, d, "customer"), "o_custkey", "c_custkey").select("o_orderkey", "c_name")
+
+
+@query("SELECT event_id, c_mktsegment FROM events LEFT JOIN customer ON user_id = c_custkey")
+def lookup_left(spark, d):
+    return joins.lookup_join(events(spark, d), table(spark, d, "customer"), "user_id", "c_custkey", "left").select("event_id", "c_mktsegment")
+
+
+# OVER, top-k
+
+TOPK = f"""WITH p AS (SELECT {BIN.format(w='6 hours')} AS b, user_id FROM events), w AS (SELECT b - INTERVAL 6 HOUR * i AS start, user_id, count(*)::BIGINT AS n FROM p, range(4) r(i) GROUP BY ALL)
+SELECT start, start + INTERVAL 24 HOUR AS "end", user_id, n, row_num FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY n DESC, user_id DESC) AS row_num FROM w) WHERE row_num <= 3"""
+
+
+@query(TOPK.replace("n, row_num FROM (", "n, row_num::INTEGER AS row_num FROM ("))
+def topk_per_window(spark, d):
+    c = windows.hop_two_step(events(spark, d), "ts", "6 hours", "24 hours", ["user_id"], {"n": ("count", "event_id")})
+    return topn.top_k(c, 3, ["window"], [F.desc("n"), F.desc("user_id")]).select(*bounds(), "user_id", "n", "row_num")
+
+
+@query(f"""WITH c AS (SELECT {DAY} AS start, user_id, count(*)::BIGINT AS n FROM events GROUP BY ALL)
+SELECT start, user_id, n, rank() OVER a::INTEGER AS rk, dense_rank() OVER a::INTEGER AS dr, lag(n) OVER b AS prev, lead(n) OVER b AS nxt, ntile(4) OVER b::INTEGER AS tile, round(percent_rank() OVER a, 6) AS pr, round(cume_dist() OVER a, 6) AS cd, sum(n) OVER (b ROWS UNBOUNDED PRECEDING)::BIGINT AS run, first_value(user_id) OVER b AS fv
+FROM c WINDOW a AS (PARTITION BY start ORDER BY n DESC), b AS (PARTITION BY start ORDER BY n DESC, user_id)""")
+def over_rank_lag(spark, d):
+    c = windows.window_agg(events(spark, d), windows.tumble("ts", "1 day"), ["user_id"], F.count("*").alias("n"))
+    a, b = Window.partitionBy("window").orderBy(F.desc("n")), Window.partitionBy("window").orderBy(F.desc("n"), "user_id")
+    return c.select("window.start", "user_id", "n", F.rank().over(a).alias("rk"), F.dense_rank().over(a).alias("dr"), F.lag("n").over(b).alias("prev"), F.lead("n").over(b).alias("nxt"), F.ntile(4).over(b).alias("tile"), F.round(F.percent_rank().over(a), 6).alias("pr"), F.round(F.cume_dist().over(a), 6).alias("cd"), F.sum("n").over(b.rowsBetween(Window.unboundedPreceding, 0)).alias("run"), F.first("user_id").over(b).alias("fv"))
+
+
+# set operations, unnest, user-defined functions
+
+
+@query("SELECT c_nationkey AS k, c_acctbal AS bal FROM customer UNION ALL SELECT s_nationkey, s_acctbal FROM supplier")
+def union_all(spark, d):
+    return table(spark, d, "customer").selectExpr("c_nationkey k", "c_acctbal bal").union(table(spark, d, "supplier").select("s_nationkey", "s_acctbal"))
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+def union_distinct(spark, d):
+    return table(spark, d, "customer").selectExpr("c_nationkey k").union(table(spark, d, "supplier").select("s_nationkey")).distinct()
+
+
+@query("SELECT DISTINCT event_type, user_id % 10 AS m FROM events")
+def distinct_rows(spark, d):
+    return events(spark, d).selectExpr("event_type", "user_id % 10 AS m").distinct()
+
+
+@query("SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word FROM part")
+def unnest_split(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.explode(F.split("p_type", " ")).alias("word"))
+
+
+@query("SELECT event_id, user_id * 2 + 1 AS y FROM events")
+def udf_scalar(spark, d):
+    def odd(x: int) -> int:
+        return x * 2 + 1
+
+    return events(spark, d).select("event_id", udf.register_scalar(spark, "odd", odd)("user_id").alias("y"))
+
+
+@query("SELECT event_type, median(value) AS m FROM events GROUP BY event_type")
+def udaf_median(spark, d):
+    def mid(s: pd.Series) -> float:
+        return float(s.median())
+
+    return events(spark, d).groupBy("event_type").agg(udf.register_aggregate(spark, "mid", mid, "double")("value").alias("m"))
+
+
+@query("SELECT event_id, user_id + 1 AS next FROM events")
+def async_udf(spark, d):
+    async def plus(x: int) -> int:
+        return x + 1
+
+    return udf.async_map(events(spark, d).select("event_id", "user_id"), "user_id", plus, "next", "bigint").select("event_id", "next")
+
+
+# changelogs
+
+#: A changelog of orders: all created, every third updated (its price doubled), every seventh then deleted.
+
+
+def order_changes(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    row = F.struct("o_orderkey", "o_custkey", "o_totalprice")
+    twice = F.struct("o_orderkey", "o_custkey", (F.col("o_totalprice") * 2).alias("o_totalprice"))
+    empty = F.when(F.lit(False), row)
+    k = F.col("o_orderkey")
+    e = F.array(F.struct(empty.alias("before"), row.alias("after"), F.lit("c").alias("op"), F.lit(1).alias("seq")))
+    u = F.when(k % 3 == 0, F.array(F.struct(row.alias("before"), twice.alias("after"), F.lit("u").alias("op"), F.lit(2).alias("seq"))))
+    x = F.when(k % 7 == 0, F.array(F.struct(F.when(k % 3 == 0, twice).otherwise(row).alias("before"), empty.alias("after"), F.lit("d").alias("op"), F.lit(3).alias("seq"))))
+    gone = F.slice(e, 1, 0)
+    return o.select(F.explode(F.concat(e, F.coalesce(u, gone), F.coalesce(x, gone))).alias("v")).select("v.*")
+
+
+PRICE = "CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 ELSE o_totalprice END"
+
+
+@query(f"SELECT o_orderkey, o_custkey, {PRICE} AS o_totalprice FROM orders WHERE o_orderkey % 7 <> 0")
+def updating_replay(spark, d):
+    return debezium.replay(order_changes(spark, d), ["o_orderkey"], "seq")
+
+
+@query(f"SELECT o_custkey, count(*)::BIGINT AS count, round(sum({PRICE}), 2) AS total FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY o_custkey")
+def updating_aggregate(spark, d):
+    signed = debezium.unroll(order_changes(spark, d), ["o_orderkey"])
+    return updating.signed_agg(signed, ["o_custkey"], {"total": "o_totalprice"}).withColumn("total", F.round("total", 2))
+
+
+@query(f"SELECT o_custkey, max({PRICE}) AS dearest, median({PRICE}) AS middle FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY o_custkey")
+def updating_unretractable(spark, d):
+    rows = updating.live_rows(debezium.unroll(order_changes(spark, d), ["o_orderkey"]), ["o_orderkey", "o_custkey", "o_totalprice"])
+    return rows.groupBy("o_custkey").agg(F.max("o_totalprice").alias("dearest"), F.median("o_totalprice").alias("middle"))
+
+
+@query(f"""SELECT o_orderkey, o_totalprice, false AS is_retract FROM orders UNION ALL SELECT o_orderkey, o_totalprice, true FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, o_totalprice * 2, false FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT o_orderkey, {PRICE}, true FROM orders WHERE o_orderkey % 7 = 0""")
+def debezium_unroll(spark, d):
+    return debezium.unroll(order_changes(spark, d), ["o_orderkey"]).select("o_orderkey", "o_totalprice", "_updating_meta.is_retract")
+
+
+@query(f"SELECT o_orderkey, {PRICE} AS price, 'c' AS op FROM orders WHERE o_orderkey % 7 <> 0")
+def debezium_encode(spark, d):
+    signed = debezium.unroll(order_changes(spark, d), ["o_orderkey"], "seq")
+    out = debezium.encode(signed, ["o_orderkey"], ["seq", "_pos"])
+    return out.select("after.o_orderkey", F.col("after.o_totalprice").alias("price"), "op")
+
+
+@query("""WITH a AS (SELECT o_custkey, count(*)::BIGINT AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL), b AS (SELECT o_custkey, count(*)::BIGINT AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL)
+SELECT o_custkey, a.n AS was, b.n AS now, CASE WHEN a.n IS NULL THEN 'c' WHEN b.n IS NULL THEN 'd' ELSE 'u' END AS op FROM a FULL JOIN b USING (o_custkey) WHERE a.n IS DISTINCT FROM b.n""")
+def updating_changelog(spark, d):
+    o = table(spark, d, "orders")
+    count = lambda k: o.where(F.col("o_orderkey") % k == 0).groupBy("o_custkey").agg(F.count("*").alias("n"))
+    c = updating.changes(count(2), count(3), ["o_custkey"])
+    return c.select(F.coalesce("before.o_custkey", "after.o_custkey").alias("o_custkey"), F.col("before.n").alias("was"), F.col("after.n").alias("now"), "op")
+
+
+# the SQL front end: the same through scripts
+
+
+@query(f"SELECT event_type, {HOUR} AS hour, count(*)::BIGINT AS count FROM events GROUP BY ALL")
+def script_hourly(spark, d):
+    script = """
+    CREATE TABLE stream (ts TIMESTAMP NOT NULL, event_type TEXT, WATERMARK FOR ts) WITH (connector = 'single_file', path = 'given', format = 'json', type = 'source');
+    SELECT event_type, window.start AS hour, count FROM (SELECT event_type, tumble(interval '1 hour') AS window, count(*) AS count FROM stream GROUP BY window, event_type);"""
+    return Engine(spark, {"stream": events(spark, d)}).run(script)[0]
+
+
+@query(f"""WITH c AS (SELECT {DAY} AS start, user_id, count(*)::BIGINT AS n FROM events GROUP BY ALL) SELECT start, user_id, n FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY n DESC, user_id DESC) AS rn FROM c) WHERE rn = 1""")
+def script_most_active(spark, d):
+    script = """
+    CREATE TABLE stream (ts TIMESTAMP NOT NULL, user_id BIGINT, WATERMARK FOR ts AS ts - interval '5 seconds') WITH (connector = 'single_file', path = 'given', format = 'json', type = 'source');
+    CREATE VIEW counts AS SELECT user_id, count(*) AS n, hop(interval '1 day', interval '1 day') AS window FROM stream GROUP BY user_id, window;
+    SELECT window.start AS start, user_id, n FROM (SELECT *, row_number() OVER (PARTITION BY window ORDER BY n DESC, user_id DESC) AS rn FROM counts) WHERE rn == 1;"""
+    return Engine(spark, {"stream": events(spark, d)}).run(script)[0]
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def script_json(spark, d):
+    script = """
+    CREATE TABLE stream (event_id BIGINT, ts TIMESTAMP, props JSON) WITH (connector = 'single_file', path = 'given', format = 'json', type = 'source');
+    SELECT event_id, props->>'k' AS k FROM stream WHERE props->>'k' IS NOT NULL;"""
+    return Engine(spark, {"stream": events(spark, d)}).run(script)[0]
+
+
+# batch-only extensions
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def ext_order_limit(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def ext_semi(spark, d):
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    return c.join(o, c.c_custkey == o.o_custkey, "left_semi").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def ext_anti(spark, d):
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+def ext_intersect(spark, d):
+    return table(spark, d, "customer").selectExpr("c_nationkey k").intersect(table(spark, d, "supplier").select("s_nationkey"))
+
+
+@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+def ext_except(spark, d):
+    return table(spark, d, "nation").selectExpr("n_nationkey k").subtract(table(spark, d, "supplier").select("s_nationkey"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*)::BIGINT AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def ext_cube(spark, d):
+    return table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*)::BIGINT AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def ext_rollup(spark, d):
+    return table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click'), p AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL)
+SELECT event_id, p.value AS value FROM c ASOF LEFT JOIN p ON c.user_id = p.user_id AND c.ts >= p.ts""")
+def ext_asof(spark, d):
+    e = events(spark, d)
+    p = e.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    return joins.asof_join(e.where("event_type = 'click'").select("event_id", "user_id", "ts"), p, "user_id", "ts", "ts", "value").select("event_id", "value")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["topk_per_window"](spark, sf_dir)

@@ -1,0 +1 @@
+"""tidemark.sources"""
