@@ -70,3 +70,8 @@ def label_model(patterns: DataFrame, good: list[list[float]], bad: list[list[flo
     m = patterns.agg(F.array_sort(F.collect_list(F.struct("v", F.col("n").cast("double").alias("n")))).alias("ps"))
     m = m.withColumn("p0", F.expr(f"named_struct('g', {table(good)}, 'b', {table(bad)})")).select(F.expr(fitted).alias("m")).first()["m"]
     return m["b"], [list(w) for w in m["w"]]
+
+
+def fold(modulus: int, rest: int) -> Column:
+    """Whether crc32 of doc_id as text leaves this rest: the held-out fold. False for null ids."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == rest, F.lit(False))

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, pii, quality, simhash
+from . import bpe, chroma, langid, mixing, pii, quality, simhash, toxicity
 from .common import read_table
 
 #: The vocabulary file's place; every machine has it there.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 
+def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chroma.searched(chroma.rendered(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(read_table(spark, sf_dir, "documents"))
 
@@ -29,11 +33,19 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.labelled(read_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(read_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality, op4_simhash, op5_pii, op6_mixing, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chroma, op3_quality, op4_simhash, op5_pii, op6_mixing, op7_toxicity, op9_langid, op10_bpe)}
 
 ORACLE: dict[str, str] = {
     "op6_mixing": """
