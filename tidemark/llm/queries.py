@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chroma, langid, mixing, pii, quality, simhash, toxicity
+from . import bpe, chaining, chroma, langid, mixing, pii, quality, rindex, simhash, toxicity
 from .common import read_table
 
 #: The vocabulary file's place; every machine has it there.
@@ -17,6 +17,10 @@ def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chroma.searched(chroma.rendered(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
 
 
+def op2_rindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rindex.deduplicated(read_table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(read_table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.classes(read_table(spark, sf_dir, "documents"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.labelled(read_table(spark, sf_dir, "documents"))
 
@@ -45,7 +53,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(read_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chroma, op3_quality, op4_simhash, op5_pii, op6_mixing, op7_toxicity, op9_langid, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chroma, op2_rindex, op3_quality, op4_simhash, op5_pii, op6_mixing, op7_toxicity, op8_chaining, op9_langid, op10_bpe)}
 
 ORACLE: dict[str, str] = {
     "op6_mixing": """
