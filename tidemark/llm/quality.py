@@ -97,7 +97,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that the model keeps, with their columns. Verdicts are expressions on the row itself: no join."""
     model = fit(with_votes(features(docs.select("text")).select("_q.*")))
     names = docs.columns
-    x = features(docs.select("*")).select(F.struct(*[F.col(c) for c in names]).alias("_row"), "_q.*")
+    x = features(docs.select(F.struct(*[F.col(c) for c in names]).alias("_row"), "text")).select("_row", "_q.*")
     # the row number, which is not deterministic, stops Spark from moving the filter below the counts and working them out again in it
     x = with_votes(x).select("_row", (~F.col("base_failed") & (posterior(model) >= 0.5)).alias("_keep"), F.monotonically_increasing_id().alias("_at"))
     return x.where((F.col("_at") >= 0) & F.col("_keep")).select("_row.*")

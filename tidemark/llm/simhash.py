@@ -130,4 +130,4 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates: that of its smallest doc_id. Rows that repeat that doc_id are one document."""
     prints = materialize(fingerprints(docs), "simhash-docs")
     kept = prints.join(classes(prints), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
