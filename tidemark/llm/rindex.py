@@ -32,7 +32,8 @@ from .common import materialize, width
 
 LENGTH, GRAM = 100, 32
 PIECE = 1 << 19
-FLUSH = 1_000_000
+#: Anchors held by a task, and bytes of contexts that one index covers: bounds of memory that change no result.
+FLUSH, SHARD = 300_000, 1 << 20
 ENTRY = {"k": "<u8", "c": "<u8", "d": "<i8", "h": "<i8", "a": "<i4", "s": "<i4", "e": "<i4"}
 MARK = {"d": "<i8", "h": "<i8", "s": "<i4", "e": "<i4"}
 NEED = {"k": "<u8", "d": "<i8", "h": "<i8", "a": "<i4", "s": "<i4", "e": "<i4"}
@@ -106,24 +107,30 @@ def copies(x: Columns, first: np.ndarray) -> np.ndarray:
 class RunIndex:
     """Run-length BWT of contexts (symbol arrays, each closed by a symbol of its own that sorts by its order)."""
 
-    def __init__(self, text: np.ndarray, starts: np.ndarray):
+    def __init__(self, text: np.ndarray):
         n = self.n = len(text)
-        rank, half, at100 = np.unique(text, return_inverse=True)[1].astype(np.int64), 1, None
-        while half < 2 * LENGTH and rank.max(initial=0) < n - 1:  # ranks by 1, 2, 4 ... symbols
-            nxt = np.zeros(n, np.int64)
-            nxt[:-half or None] = rank[half:] + 1 if half < n else 0
-            key = rank * (n + 1) + nxt
-            order = np.argsort(key, kind="stable")
-            new = np.concatenate([[0], (key[order][1:] != key[order][:-1]).cumsum()])
+        bits = int(text.max(initial=1)).bit_length()
+        half, at100 = (4 if 4 * bits < 63 else 1), None
+        key = np.zeros(n, np.int64)
+        for j in range(half):  # as many symbols as one integer holds, then ranks by twice as many each round
+            key <<= bits
+            key[: n - j] |= text[j:]
+        while True:
+            order = np.argsort(key)
+            ranked = key[order]
+            new = np.concatenate([[0], (ranked[1:] != ranked[:-1]).cumsum()])
             rank = np.empty(n, np.int64)
             rank[order] = new
-            half *= 2
             if half == 64:
                 at100 = rank
-        sa = np.argsort(rank, kind="stable")
+            if half >= 2 * LENGTH or new[-1] == n - 1:
+                break
+            key = rank * (n + 1)
+            key[: n - half] += rank[half:] + 1
+            half *= 2
+        sa = order
         # neighbours share 100 symbols if they share the first and the last 64 of them
-        if at100 is None:
-            at100 = rank
+        if at100 is None:  # all suffixes differ within fewer symbols
             same = np.zeros(max(0, n - 1), bool)
         else:
             far = np.minimum(sa + LENGTH - 64, n - 1)
@@ -186,11 +193,16 @@ def indexed(x: Columns, body: bytes) -> Columns:
     inside = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
     text[inside] = raw[np.repeat(at[order] - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype(np.int64) + len(n)
     text[starts + n] = np.arange(len(n))
-    index = RunIndex(text, starts)
+    index = RunIndex(text)
     out = []
     x = take(x, order)
-    for who, place, earliest in index.stream(text, starts, starts + n):
+    # the earliest context of an anchor is in the index, but nothing stands before it
+    later = np.ones(len(n), bool)
+    later[np.unique(x["k"], return_index=True)[1]] = False
+    later = np.flatnonzero(later)
+    for who, place, earliest in index.stream(text, starts[later], (starts + n)[later]):
         hit = earliest < place
+        who = later[who]
         w, start = who[hit], (place - starts[who])[hit]
         s = x["s"][w] + start
         out.append({"d": x["d"][w], "h": x["h"][w], "s": s.astype(np.int32), "e": s.astype(np.int32)})
@@ -331,7 +343,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         k = x["k"][order]
         new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
         filled = np.cumsum(size[order])
-        shard = np.maximum.accumulate(np.where(new, filled - size[order], 0)) // (1 << 22) if len(k) else np.zeros(0, np.int64)
+        shard = np.maximum.accumulate(np.where(new, filled - size[order], 0)) // SHARD if len(k) else np.zeros(0, np.int64)
         raw = np.frombuffer(body, np.uint8)
         for s in np.unique(shard):
             i = order[shard == s]
