@@ -98,6 +98,14 @@ def test_simhash_links_find_planted_bits(spark):
     assert len({(group[int(x)], key(x)) for x in a}) == len(set(group.values())) == len({key(x) for x in a})
 
 
+def test_keep_first_keeps_one_row_of_each_group(spark):
+    rnd = random.Random(8)
+    text = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    rows = [(None, text()) for _ in range(6)] + [(5, text()), (5, text()), (6, text()), (None, None)]
+    got = simhash.keep_first(spark.createDataFrame(rows + rows[:2] + rows[6:7] + [(None, rows[8][1]), (9, rows[8][1])], "doc_id long, text string").repartition(3)).collect()
+    assert Counter(map(tuple, got)) == Counter(rows)
+
+
 def plain_spans(x):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", x) if all(int(v) <= 255 for v in m[0].split("."))]

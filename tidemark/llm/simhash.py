@@ -49,15 +49,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > k, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (long, the 64 bits) for every row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (long, the 64 bits) and further columns of longs for every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fp = np.array([fingerprint(t, shingle) for t in pdf["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp} | {c: pdf[c] for c in more})
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text", *more).mapInPandas(run, "doc_id long, fp long" + "".join(f", {c} long" for c in more))
 
 
 def forest(fps: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
@@ -112,12 +112,12 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def classes(prints: DataFrame) -> DataFrame:
-    """fp, component_id (the smallest doc_id that its links reach) for every distinct fingerprint of prints (doc_id, fp)."""
+    """fp, root (its component's least fingerprint), component_id (the smallest doc_id that its links reach) for every distinct fingerprint of prints (doc_id, fp)."""
     fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-prints")
     of = components(links(fps), "simhash")
     x = fps.join(of, fps.fp == of.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = x.groupBy("root").agg(F.min("least").alias("component_id"))
-    return x.join(ids, "root").select("fp", "component_id")
+    return x.join(ids, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -127,7 +127,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates: that of its smallest doc_id. Rows that repeat that doc_id are one document."""
-    prints = materialize(fingerprints(docs), "simhash-docs")
-    kept = prints.join(classes(prints), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group of near-duplicates: that of its smallest doc_id (null comes last), of its texts the one with the least hash.
+
+    A row is known by its id and its text's hash: rows without an id, or with the same id and other texts, stay apart unless their texts
+    are near-duplicates."""
+    texts = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+    prints = materialize(fingerprints(texts, more=("text_hash",)), "simhash-docs")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_hash"))
+    least = prints.groupBy("fp").agg(F.min(row).alias("row")).join(classes(prints), "fp").groupBy("root").agg(F.min("row").alias("row"))
+    kept = least.select("row._kept", "row._hash")
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]) & (F.xxhash64(docs["text"]) == kept["_hash"])
+    rows = docs.join(kept, same, "left_semi").withColumn("_text_hash", F.xxhash64("text"))
+    return rows.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
