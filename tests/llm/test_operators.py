@@ -228,6 +228,21 @@ def test_chaining_finds_fuzzy_passages(spark):
     assert [(p.start, p.end) for p in got[25].passages] == [(40, 117)]
 
 
+def chained_rows(spark, rows, tasks=3):
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    return {r.doc_id: r for r in chaining.classes(d.repartition(tasks)).collect()}
+
+
+def test_chaining_splits_a_chain_that_is_too_unlike(spark):
+    rnd = random.Random(6)
+    some = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    x, y = some(60), some(60)
+    rows = [(1, some(20) + x + some(60) + y + some(20)), (2, some(30) + x + some(60) + y + some(9)), (3, some(5) + x + y + some(5)), (4, some(70))]
+    got = chained_rows(spark, rows)
+    assert [(p.start, p.end, p.ref_start, p.ref_end, p.identity) for p in got[2].passages] == [(30, 90, 20, 80, 1.0), (150, 210, 140, 200, 1.0)]
+    assert {(p.start, p.end) for p in got[3].passages} == {(5, 65), (65, 125)} and [got[i].class_id for i in (1, 2, 3, 4)] == [1, 1, 1, 4]
+
+
 def test_edit_distance_in_a_band():
     rnd = random.Random(2)
     for _ in range(150):
