@@ -260,6 +260,23 @@ def test_edit_distance_in_a_band():
         assert not b or chaining.distance(np.array(a), np.array(b)) == row[-1]
 
 
+def test_edit_distance_far_off_the_diagonal():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 32, 5000).astype("<u4")
+    b = np.concatenate([a[:100], rng.integers(0, 1 << 32, 20).astype("<u4"), a[100:4800], a[4820:]])
+    assert chaining.distance(a, b) == 40
+    assert chaining.passage(a, 0, 5000, b, 0, 0, 5000) == (0, 5000, 0, 5000, 0.992)
+    for n in (60, 150):
+        for _ in range(20):
+            x = rng.integers(0, 5, n)
+            y = np.delete(np.insert(x, rng.integers(0, n, 25), rng.integers(0, 5, 25)), rng.integers(0, n, rng.integers(40)))
+            row = np.arange(len(y) + 1)
+            for i, v in enumerate(x):
+                new = np.minimum(row[:-1] + (y != v), row[1:] + 1)
+                row = np.minimum.accumulate(np.concatenate([[i + 1], new]) - np.arange(len(y) + 1)) + np.arange(len(y) + 1)
+            assert chaining.distance(x, y) == row[-1] and chaining.distance(x, y, 20) == min(row[-1], 21)
+
+
 def test_chroma_aligns_recordings(spark):
     rng = np.random.default_rng(0)
     v = [rng.normal(size=64) for _ in range(20)]
