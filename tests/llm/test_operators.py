@@ -243,6 +243,23 @@ def test_chaining_splits_a_chain_that_is_too_unlike(spark):
     assert {(p.start, p.end) for p in got[3].passages} == {(5, 65), (65, 125)} and [got[i].class_id for i in (1, 2, 3, 4)] == [1, 1, 1, 4]
 
 
+def test_chaining_links_lines_that_began_in_different_documents(spark):
+    rnd = random.Random(7)
+    some = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    rows, want = [], {}
+    for g in range(0, 400, 10):
+        lines = [some(20) for _ in range(3)]
+        for i, x in enumerate(lines):
+            rows.append((g + i, some(40) + x + some(40)))
+        order = rnd.sample(lines, 3)
+        for i in (5, 6):
+            rows.append((g + i, some(30) + [w for x in order for w in x] + some(30)))
+            want[g + i] = g + 5
+    for tasks in (1, 4):
+        got = chained_rows(spark, rows, tasks)
+        assert {i: r.class_id for i, r in got.items()} == {i: want.get(i, i) for i, _ in rows}
+
+
 def test_edit_distance_in_a_band():
     rnd = random.Random(2)
     for _ in range(150):
