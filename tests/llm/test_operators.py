@@ -305,6 +305,21 @@ def test_chroma_aligns_recordings(spark):
     assert chroma.searched(media.limit(0)).count() == 0
 
 
+def test_chroma_finds_all_pairs_within_the_error(spark):
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 1 << 32, (12, 46), dtype=np.uint32)
+    rows = []
+    for i, x in enumerate(a):
+        flips = np.zeros((46, 32), bool)
+        for k in range(46):  # five bits of each integer: error 0.156, no integer is equal
+            flips[k, rng.choice(32, 5, False)] = True
+        y = x ^ np.packbits(flips, axis=1, bitorder="little").view("<u4").ravel()
+        rows += [(i, x), (100 + i, np.concatenate([rng.integers(0, 1 << 32, 7, dtype=np.uint32), y])[: 46 + i])]
+    d = spark.createDataFrame([(i, x.view(np.int32).tolist()) for i, x in rows], "class_id long, prints array<int>")
+    got = {(r["query"], r.other): (r.offset, r.bit_error) for r in chroma.alignments(d, d.where("class_id < 100")).collect()}
+    assert got == {(i, 100 + i): (7, 0.15625) for i in range(12)}
+
+
 def test_pipeline_against_its_stages(spark, docs, texts):
     import corpus_pipeline
 

@@ -2,8 +2,11 @@
 
 A recording (16-bit mono PCM) becomes frames of the 12 pitch classes' energies. Sixteen filters, sums over rectangles of frames and
 classes read from an integral image, are quantised to two bits each and packed into one 32-bit integer for every frame position.
-Two recordings are aligned by seeds (two successive integers, equal in both): the seeds' offsets form a histogram, the best
-offset with the most seeds is taken, and the share of differing bits over the overlap at that offset decides.
+Two recordings are aligned by seeds, integers that differ in no more than MAX_ERROR of their bits (an offset whose share of differing bits
+is accepted has one at least): the seeds' offsets form a histogram, of the offsets with the most seeds the one with the least share of
+differing bits over the overlap is taken, and that share decides. Equal integers as seeds would miss most of the accepted range, and keys of
+few enough bits to find it meet in nearly every pair, so a query is compared with every recording, block by block: the work is queries x
+recordings, only pairs that align leave a task.
 
 The tables hold no audio, so `render` plays each vector of `embeddings` as a tune: one note for each component. Null and empty vectors
 and recordings shorter than one filter have no integers: they form one class and link to nothing. Repeated recordings have the same
@@ -19,7 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .blocks import pack, unpack
+from .common import materialize, width
 
 RATE, FRAME, HOP, NOTE = 4000, 1024, 320, 320
 LOWEST, HIGHEST = 110.0, 1760.0
@@ -28,6 +32,7 @@ FILTERS = [(0, 0, 3, 15), (1, 4, 4, 14), (2, 4, 4, 11), (3, 0, 4, 14), (4, 8, 2,
 CUTS = (-0.08, 0.0, 0.08)
 SPAN = 16  # frames that the widest filter takes
 MAX_ERROR, MIN_OVERLAP = 0.18, 16
+BLOCK = 512  # recordings that are compared at once
 
 
 def render(vector: np.ndarray) -> bytes:
@@ -115,21 +120,60 @@ def rendered(vectors: DataFrame, key: str, column: str) -> DataFrame:
     return vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).mapInPandas(run, "id long, pcm binary")
 
 
+def compared(query: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The offset with the most seeds (of those, with the least share of differing bits; then the nearest) and that share, for each of rows.
+
+    rows: recordings of one length as columns; a share of 2 where no offset has MIN_OVERLAP and a seed."""
+    n, m = len(query), len(rows)
+    error, best, most = np.full(rows.shape[1], 2.0), np.zeros(rows.shape[1], np.int64), np.zeros(rows.shape[1], np.int64)
+    for offset in sorted(range(MIN_OVERLAP - n, m - MIN_OVERLAP + 1), key=lambda o: (abs(o), -o)):
+        q, r = query[max(0, -offset) :], rows[max(0, offset) :]
+        overlap = min(len(q), len(r))
+        if overlap >= MIN_OVERLAP:
+            bits = np.bitwise_count(r[:overlap] ^ q[:overlap, None])
+            seeds, e = (bits <= int(32 * MAX_ERROR)).sum(0), bits.sum(0, dtype=np.uint32) / (32 * overlap)
+            better = (seeds > most) | ((seeds == most) & (seeds > 0) & (e < error))
+            error[better], best[better], most[better] = e[better], offset, seeds[better]
+    return error, best
+
+
 def alignments(classes: DataFrame, queries: DataFrame) -> DataFrame:
-    """query, other, offset, seeds, bit_error for every pair of classes whose best offset has few enough differing bits.
+    """query, other, offset, bit_error for every pair of classes whose best offset has few enough differing bits.
 
     classes, queries: class_id, prints. Only the classes of queries are looked up; copies are one class, so nothing is listed twice.
     """
-    seeds = lambda d, name: d.select(F.col("class_id").alias(name), F.posexplode(F.expr("case when size(prints) > 1 then transform(slice(prints, 1, size(prints) - 1), (p, i) -> shiftleft(bigint(p), 32) + prints[i + 1]) else cast(array() as array<bigint>) end")).alias(f"{name}_at", "seed"))
-    hits = seeds(queries, "query").join(seeds(classes, "other"), "seed").where("query <> other")
-    hist = hits.groupBy("query", "other", (F.col("other_at") - F.col("query_at")).alias("offset")).agg(F.count("*").alias("seeds"))
-    best = hist.groupBy("query", "other").agg(F.max(F.struct("seeds", F.expr("-abs(offset)").alias("near"), "offset")).alias("b")).select("query", "other", "b.offset", "b.seeds")
-    x = best.join(queries.select(F.col("class_id").alias("query"), F.col("prints").alias("p")), "query").join(classes.select(F.col("class_id").alias("other"), F.col("prints").alias("q")), "other")
-    x = x.withColumn("p", F.expr("slice(p, 1 + greatest(0, -offset), size(p))")).withColumn("q", F.expr("slice(q, 1 + greatest(0, offset), size(q))"))
-    x = x.withColumn("overlap", F.least(F.size("p"), F.size("q")))
-    errors = F.expr("aggregate(zip_with(slice(p, 1, overlap), slice(q, 1, overlap), (a, b) -> bit_count(a ^ b) & 63), 0, (s, v) -> s + v)")
-    x = x.withColumn("bit_error", F.round(errors / (32 * F.col("overlap")), 6))
-    return x.where((F.col("overlap") >= MIN_OVERLAP) & (F.col("bit_error") <= MAX_ERROR)).select("query", "other", "offset", "seeds", "bit_error")
+    head = {"id": "<i8", "n": "<i4"}
+
+    def blocks(d: DataFrame, name: str) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for at in range(0, len(pdf), BLOCK):
+                    part = pdf.iloc[at : at + BLOCK]
+                    n = np.array([len(p) for p in part["prints"]], np.int32)
+                    yield pd.DataFrame({name: [pack({"id": part["class_id"].to_numpy(np.int64), "n": n}, b"".join(np.asarray(p, "<i4").tobytes() for p in part["prints"]))]})
+
+        return d.where(f"class_id is not null and size(prints) >= {MIN_OVERLAP}").select("class_id", "prints").mapInPandas(run, f"{name} binary")
+
+    def opened(block: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+        c, body = unpack(block, head)
+        return c["id"], np.split(np.frombuffer(body, "<u4"), np.cumsum(c["n"])[:-1])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for q, o in zip(pdf["q"], pdf["o"]):
+                (asks, wanted), (ids, prints) = opened(q), opened(o)
+                length = np.array([len(p) for p in prints])
+                for n in np.unique(length):
+                    at = np.flatnonzero(length == n)
+                    rows = np.ascontiguousarray(np.array([prints[i] for i in at]).T)
+                    for ask, query in zip(asks, wanted):
+                        error, offset = compared(query, rows)
+                        ok = np.flatnonzero((np.round(error, 6) <= MAX_ERROR) & (ids[at] != ask))
+                        if len(ok):
+                            yield pd.DataFrame({"query": ask, "other": ids[at[ok]], "offset": offset[ok].astype(np.int32), "bit_error": np.round(error[ok], 6)})
+
+    pairs = blocks(queries, "q").crossJoin(blocks(classes, "o")).repartition(width(classes.sparkSession))
+    return pairs.mapInPandas(run, "query long, other long, offset int, bit_error double")
 
 
 def searched(media: DataFrame, every: int = 50) -> DataFrame:
