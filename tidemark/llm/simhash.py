@@ -1,12 +1,14 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
-Two 64-bit fingerprints that differ in at most 4 bits share at least 4 of their 8 bytes, position by position:
-the guaranteed minimum of matches. The index therefore lists fingerprints under every choice of 4 byte positions
-with the bytes found there, so that exactly the pairs that reach the minimum meet, whichever positions they share,
-and a list is as short as 32 bits make it. Within a list, shared bytes are tallied (4 by the key, the others
-compared) and the differing bits of those that pass are counted. Only distinct fingerprints are listed, however
-many copies a text has. A list hands on a spanning forest, not its pairs: a walk compares each fingerprint
-reached with those not reached yet, which are few once a group of near copies has been found.
+Two 64-bit fingerprints that differ in at most BITS (4) bits share at least MATCHES (4) of their 8 bytes, position by position: the guaranteed
+minimum. The inverted index lists distinct fingerprints under each byte at each position. Within a list the positional bytes that every
+two share are tallied, pairs that reach the minimum are kept, and their differing bits are counted.
+
+A list longer than LIST is too heavy to tally pair by pair. It is split by the byte at each later position, its heavy parts again, down to
+MATCHES positions. That loses nothing: a pair shares MATCHES positions p1 < p2 < ..., so it meets in list p1, or if that is heavy in its part
+p2, and so on; a list under MATCHES positions holds only pairs that reach the minimum and is walked whatever its length, each fingerprint
+reached being compared with those not reached yet. The index starts at as many positions as make lists of LIST fingerprints of even
+bytes, which would be split anyway. A list hands on edges that connect its links, not all its pairs.
 
 Null and blank texts have fingerprint zero and link like any other. Rows that repeat a doc_id or text are treated
 alike; a null doc_id never becomes a component's id unless the component has no other. An empty table gives an
@@ -15,19 +17,21 @@ empty result; columns other than doc_id and text are carried or ignored, never r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, width
 from .graph import components
 
 SHINGLE, SEED, BITS, MATCHES = 4, 42, 4, 4
-POSITIONS = list(combinations(range(8), MATCHES))
+#: Fingerprints in a list up to which shared bytes are tallied for every two.
+LIST = 400
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -75,16 +79,32 @@ def forest(fps: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
     return out
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """a, b: edges between distinct fingerprints that connect all that differ in at most BITS bits."""
-    byte = [F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255)) for i in range(8)]
-    keys = []
-    for c, pos in enumerate(POSITIONS):
-        k = F.lit(c).cast("long")
-        for i in pos:
-            k = F.shiftleft(k, 8).bitwiseOR(byte[i])
-        keys.append(k)
-    index = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+def tallied(fps: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
+    """Edges between the fingerprints of one list that share MATCHES positional bytes and differ in at most bits."""
+    fps = np.unique(fps)
+    rows = fps.view(np.uint8).reshape(-1, 8)
+    shared = np.zeros((len(fps), len(fps)), np.uint8)
+    for p in range(8):
+        column = np.ascontiguousarray(rows[:, p])
+        shared += column[:, None] == column
+    i, j = np.nonzero(np.triu(shared >= MATCHES, 1))
+    near = np.bitwise_count(fps[i] ^ fps[j]) <= bits
+    i, j = i[near], j[near]
+    if len(i) <= 4 * len(fps):
+        return list(zip(fps[i].tolist(), fps[j].tolist()))
+    return forest(fps[np.unique(np.concatenate([i, j]))], bits)  # many near copies: edges that connect them
+
+
+def index_key(positions: tuple[int, ...]) -> Column:
+    """A list's name: its positions and the bytes found there."""
+    k = F.lit(sum(1 << p for p in positions)).cast("long")
+    for p in positions:
+        k = F.shiftleft(k, 8).bitwiseOR(F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)))
+    return k
+
+
+def within_lists(index: DataFrame, pairs: Callable[[np.ndarray], list[tuple[int, int]]]) -> DataFrame:
+    """a, b: the edges that pairs finds in each list of index (key, fp); a list lies in one partition, its rows side by side."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_key, held = None, []  # the list that goes on in the next batch
@@ -99,18 +119,44 @@ def links(fps: DataFrame) -> DataFrame:
                 a, b = bounds[g], bounds[g + 1]
                 if keys[a] != open_key:
                     if sum(map(len, held)) > 1:
-                        edges += forest(np.concatenate(held))
+                        edges += pairs(np.concatenate(held))
                     open_key, held = keys[a], []
                 held.append(fp[a:b])
             if edges:
                 yield pd.DataFrame(np.array(edges, np.uint64).view(np.int64), columns=["a", "b"])
-        if sum(map(len, held)) > 1 and (edges := forest(np.concatenate(held))):
+        if sum(map(len, held)) > 1 and (edges := pairs(np.concatenate(held))):
             yield pd.DataFrame(np.array(edges, np.uint64).view(np.int64), columns=["a", "b"])
 
-    n = width(fps.sparkSession)
+    n = width(index.sparkSession)
     return index.repartition(n, "key").sortWithinPartitions("key").mapInPandas(run, "a long, b long")
 
 
+def links(fps: DataFrame, longest: int = LIST) -> DataFrame:
+    """a, b: edges between distinct fingerprints that connect all that differ in at most BITS bits."""
+    count, depth = fps.count(), 1
+    while depth < MATCHES and count > longest << (8 * depth):
+        depth += 1
+    # positions of a list leave room for MATCHES in all
+    chosen = [c for c in combinations(range(8), depth) if c[-1] <= 8 - MATCHES + depth - 1]
+    entry = lambda c: F.struct(index_key(c).alias("key"), F.lit(c[-1]).alias("last"))
+    index = fps.select("fp", F.explode(F.array(*map(entry, chosen))).alias("e")).select("e.key", "e.last", "fp")
+    out: list[DataFrame] = []
+    while True:
+        if depth == MATCHES:
+            return reduce(DataFrame.union, [*out, within_lists(index.select("key", "fp"), forest)])
+        index = materialize(index, "simhash-index")
+        heavy = materialize(index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > longest).select("key"), "simhash-heavy")
+        out.append(within_lists(index.join(heavy, "key", "left_anti").select("key", "fp"), tallied))
+        if not heavy.limit(1).count():
+            return reduce(DataFrame.union, out)
+        depth += 1
+        # a key holds a byte for each position below the mask of positions
+        mask, byte = F.shiftright("key", 8 * (depth - 1)), lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
+        split = lambda p: F.shiftleft(mask + (1 << p), 8 * depth).bitwiseOR(F.shiftleft(F.col("key").bitwiseAND(F.lit((1 << 8 * (depth - 1)) - 1)), 8)).bitwiseOR(byte(p))
+        parts = F.array(*[F.when(F.col("last") < p, F.struct(split(p).alias("key"), F.lit(p).alias("last"))) for p in range(1, 8 - MATCHES + depth)])
+        index = index.join(heavy, "key", "left_semi").select("fp", F.explode(F.array_compact(parts)).alias("e")).select("e.key", "e.last", "fp")
+
+
 def classes(prints: DataFrame) -> DataFrame:
     """fp, root (its component's least fingerprint), component_id (the smallest doc_id that its links reach) for every distinct fingerprint of prints (doc_id, fp)."""
     fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-prints")
