@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 #: The white space that separates words in every contract here: space, tab to carriage return.
 WS = r"[\x20\x09-\x0D]+"
 WS_CHARS = " \t\n\x0b\x0c\r"
-#: Used where the session names no spark.checkpoint.dir (a single machine, tests).
+#: Used where a session on one machine names no spark.checkpoint.dir (tests).
 LOCAL_SHARED = "/tmp/checkpoints"
+#: Text bytes for each shard that Python code reads whole.
+SHARD_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    """The folder every executor and the driver share. On a cluster spark.checkpoint.dir must name it."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (path or LOCAL_SHARED).rstrip("/")
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -42,6 +47,12 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def shards(docs: DataFrame, column: str = "text") -> int:
+    """Partitions for code that reads one whole: the session's shuffle width, or as many as keep a shard's share of the texts bounded."""
+    total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(width(docs.sparkSession), -(-total // SHARD_BYTES))
+
+
 def label_model(patterns: DataFrame, good: list[list[float]], bad: list[list[float]], prior: float, rounds: int, belief: float, late: int = 0) -> tuple[float, list[list[float]]]:
     """Generative label model by expectation-maximisation, as one native expression over the histogram of patterns.
 

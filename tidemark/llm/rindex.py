@@ -4,12 +4,15 @@ Removes every byte covered by a 100-byte string (a window) that also starts earl
 of its 32-byte grams with the least hash, a function of the window alone, so equal windows have equal anchors, and a corpus splits by
 anchor hash into shards that need nothing of each other. The windows of one anchor position form a context of at most 168 bytes.
 
-1. Anchors of all texts; equal contexts within a task are one entry, later copies being marked there and then.
-2. By shard, equal contexts are one entry with its earliest place: later copies are marked whole. Anchors with several contexts need
-   their bytes, which are fetched from the texts.
-3. A shard indexes these contexts in the order of their places: a run-length Burrows-Wheeler transform with suffix positions sampled at
-   run ends, and the earliest position of each block of suffixes that share 100 bytes. Each context is streamed through it from its end:
-   matching statistics, held at 100 bytes. A window whose block begins earlier than the window itself is marked.
+1. Anchors of all texts. Contexts are the phrases of a prefix-free parsing, and equal phrases are one entry of its dictionary with its earliest
+   place, first within a task, then by shard; later copies of a phrase are marked there. Phrases are told apart by 108 bits of hashes.
+2. Anchors with several phrases need their bytes, which are fetched from the texts.
+3. A shard puts the phrases of an anchor in the order of their places and halves them, the halves again, and so on. The earlier halves are
+   indexed: a run-length Burrows-Wheeler transform with the suffix positions of both ends of each run. The later halves, which are not in the
+   index, are streamed through it from their ends, which gives their matching statistics: the length of the longest match at each place and, by
+   the samples, a position where it occurs. Where the transform has another symbol, the nearest run ends above and below that have the
+   right one are looked up, and the sample that agrees with the match for longer is taken. A window is marked where 100 bytes match, once
+   these bytes have been compared with those at the position found. Every two phrases of an anchor meet so exactly once.
 4. Marks return to their texts, which lose the bytes covered.
 
 Null and short texts lose nothing. Rows that repeat doc_id and text are one document and get the same result; rows that repeat a doc_id with
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Columns, join, pack, routed, take, unpack
-from .common import materialize, width
+from .common import materialize, shards
 
 LENGTH, GRAM = 100, 32
 PIECE = 1 << 19
@@ -105,107 +108,147 @@ def copies(x: Columns, first: np.ndarray) -> np.ndarray:
 
 
 class RunIndex:
-    """Run-length BWT of contexts (symbol arrays, each closed by a symbol of its own that sorts by its order)."""
+    """Run-length BWT of phrases (symbol arrays, each closed by a symbol of its own) with suffix positions sampled at run ends."""
 
     def __init__(self, text: np.ndarray):
         n = self.n = len(text)
-        bits = int(text.max(initial=1)).bit_length()
-        half, at100 = (4 if 4 * bits < 63 else 1), None
+        bits = max(1, int(text.max(initial=1)).bit_length())
+        half = max(1, 62 // bits)
         key = np.zeros(n, np.int64)
         for j in range(half):  # as many symbols as one integer holds, then ranks by twice as many each round
             key <<= bits
             key[: n - j] |= text[j:]
         while True:
-            order = np.argsort(key)
-            ranked = key[order]
+            sa = np.argsort(key)
+            ranked = key[sa]
             new = np.concatenate([[0], (ranked[1:] != ranked[:-1]).cumsum()])
-            rank = np.empty(n, np.int64)
-            rank[order] = new
-            if half == 64:
-                at100 = rank
-            if half >= 2 * LENGTH or new[-1] == n - 1:
+            if new[-1] == n - 1:
                 break
+            rank = np.empty(n, np.int64)
+            rank[sa] = new
             key = rank * (n + 1)
             key[: n - half] += rank[half:] + 1
             half *= 2
-        sa = order
-        # neighbours share 100 symbols if they share the first and the last 64 of them
-        if at100 is None:  # all suffixes differ within fewer symbols
-            same = np.zeros(max(0, n - 1), bool)
-        else:
-            far = np.minimum(sa + LENGTH - 64, n - 1)
-            inside = sa + LENGTH <= n
-            same = (at100[sa[1:]] == at100[sa[:-1]]) & (at100[far[1:]] == at100[far[:-1]]) & inside[1:] & inside[:-1]
-        self.blocks = np.concatenate([[0], np.flatnonzero(~same) + 1])
-        self.earliest = np.minimum.reduceat(sa, self.blocks)
         last = text[sa - 1]  # of the first suffix: the text's end, which closes it
-        heads = np.concatenate([[0], np.flatnonzero(last[1:] != last[:-1]) + 1])
-        lengths = np.diff(np.concatenate([heads, [n]]))
-        #: sampled positions: of the suffixes at each run's end
-        self.samples = sa[heads + lengths - 1]
-        symbol = last[heads].astype(np.int64)
-        order = np.argsort(symbol, kind="stable")
-        self.keys = symbol[order] * n + heads[order]
-        self.sizes = lengths[order]
+        self.heads = np.concatenate([[0], np.flatnonzero(last[1:] != last[:-1]) + 1])
+        sizes = np.diff(np.append(self.heads, n))
+        self.symbol = last[self.heads]
+        # runs by symbol, so that the runs of a symbol beside any row are found by a search
+        by = np.argsort(self.symbol, kind="stable")
+        self.place = np.empty(len(by), np.int64)
+        self.place[by] = np.arange(len(by))
+        self.keys, self.sorted, self.sizes = self.symbol[by] * n + self.heads[by], self.symbol[by], sizes[by]
         self.before = np.cumsum(self.sizes) - self.sizes  # symbols less than c, and c in earlier runs: C[c] + rank
-        s = symbol[order]
-        self.symbols, at = np.unique(s, return_index=True)
-        self.less = self.before[at]
-
-    def step(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """LF: C[c] plus the number of c before place i of the transform."""
-        r = np.searchsorted(self.keys, c * self.n + i, "right") - 1
-        start = self.keys[r] - c * self.n
-        ok = (r >= 0) & (start >= 0)
-        less = self.less[np.searchsorted(self.symbols, c)]
-        return np.where(ok, self.before[r] + np.minimum(i - start, self.sizes[r]), less)
+        self.top, self.bottom = sa[self.heads[by]], sa[self.heads[by] + self.sizes - 1]
+        self.start = int(sa[0])
+        p = powers() if n <= PIECE else grown(n)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(text.astype(np.uint64) + np.uint64(1)) * p.up[:n], dtype=np.uint64)])
+        self.down = p.down
+
+    def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Length of what the text has in common from a and from b on, up to most: by halving and hashes."""
+        got = np.zeros(len(a), np.int64)
+        size = 1 << max(0, int(most.max(initial=0)).bit_length() - 1)
+        top = np.minimum(most, self.n - np.maximum(a, b))
+        while size:
+            ok = np.flatnonzero(got + size <= top)
+            x, y = a[ok] + got[ok], b[ok] + got[ok]
+            got[ok[(self.sums[x + size] - self.sums[x]) * self.down[x] == (self.sums[y + size] - self.sums[y]) * self.down[y]]] += size
+            size >>= 1
+        return got
 
     def stream(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Contexts text[start:end] from their ends, in step: (context, place, earliest place of its 100 symbols) wherever 100 match."""
+        """Matching statistics of text[start:end], from the ends, in step: (which, place, position in the index) wherever LENGTH symbols match."""
         order = np.argsort(starts - ends, kind="stable")
         starts, ends = starts[order], ends[order]
         lengths = ends - starts
-        lo, hi = np.zeros(len(order), np.int64), np.full(len(order), self.n, np.int64)
+        row, at = np.zeros(len(order), np.int64), np.full(len(order), self.start, np.int64)
         matched = np.zeros(len(order), np.int64)
         for t in range(int(lengths.max(initial=0))):
-            m = int(np.searchsorted(-lengths, -t, "left"))  # contexts longer than t
-            at = ends[:m] - 1 - t
-            c = text[at].astype(np.int64)
-            lo[:m], hi[:m] = self.step(c, lo[:m]), self.step(c, hi[:m])
-            matched[:m] = np.minimum(matched[:m] + 1, LENGTH)
-            full = np.flatnonzero(matched[:m] == LENGTH)
+            m = int(np.searchsorted(-lengths, -t, "left"))  # phrases longer than t
+            place = ends[:m] - 1 - t
+            c = text[place]
+            run = np.searchsorted(self.heads, row[:m], "right") - 1
+            other = np.flatnonzero(self.symbol[run] != c)
+            up = np.searchsorted(self.keys, c[other] * self.n + row[other], "right") - 1
+            row[:m] = self.before[self.place[run]] + row[:m] - self.heads[run]
+            at[:m] -= 1
+            if len(other):
+                want, was, most = c[other], at[other] + 1, matched[other]
+                below = np.minimum(up + 1, len(self.keys) - 1)
+                above = np.maximum(up, 0)
+                has_up, has_down = (up >= 0) & (self.sorted[above] == want), (up + 1 < len(self.keys)) & (self.sorted[below] == want)
+                high = np.where(has_up, self.common(was, self.bottom[above], most), -1)
+                low = np.where(has_down, self.common(was, self.top[below], most), -1)
+                use_low = low > high
+                best = np.maximum(low, high)
+                found = best >= 0
+                row[other] = np.where(found, np.where(use_low, self.before[below], self.before[above] + self.sizes[above] - 1), 0)
+                at[other] = np.where(found, np.where(use_low, self.top[below], self.bottom[above]) - 1, self.start)
+                matched[other] = best  # one less than what matches now; -1 where the index has no such symbol
+            matched[:m] += 1
+            full = np.flatnonzero(matched[:m] >= LENGTH)
             if len(full):
-                block = np.searchsorted(self.blocks, lo[full], "right") - 1
-                lo[full] = self.blocks[block]  # held at 100 symbols: the whole block again
-                hi[full] = np.append(self.blocks, self.n)[block + 1]
-                yield order[full], at[full], self.earliest[block]
+                yield order[full], place[full], at[full]
+
+
+_GROWN: list[Powers] = []
+
+
+def grown(n: int) -> Powers:
+    """Powers for an index longer than a piece (many phrases of one anchor)."""
+    if not _GROWN or len(_GROWN[0].up) <= n:
+        _GROWN[:] = [Powers(2 * n)]
+    return _GROWN[0]
+
+
+def spread(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Indices start, start + 1, ... for each length, one after another."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+
+
+def same_bytes(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether a and b agree over LENGTH symbols from x and y on."""
+    ok = np.ones(len(x), bool)
+    for j in range(LENGTH):
+        ok &= a[x + j] == b[y + j]
+    return ok
 
 
 def indexed(x: Columns, body: bytes) -> Columns:
-    """Marks in contexts x, whose bytes stand one after another in body."""
+    """Marks in phrases x, whose bytes stand one after another in body."""
     size = (x["e"] - x["s"] + LENGTH).astype(np.int64)
     at = np.cumsum(size) - size
-    order = np.lexsort((x["a"], x["h"], x["d"]))
+    order = np.lexsort((x["a"], x["h"], x["d"], x["k"]))
+    x, size, at = take(x, order), size[order], at[order]
     raw = np.frombuffer(body, np.uint8)
-    n = size[order]
-    starts = np.cumsum(n + 1) - n - 1
-    text = np.zeros(int((n + 1).sum()), np.int64)
-    inside = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    text[inside] = raw[np.repeat(at[order] - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype(np.int64) + len(n)
-    text[starts + n] = np.arange(len(n))
-    index = RunIndex(text)
+    first = np.flatnonzero(np.concatenate([[True], x["k"][1:] != x["k"][:-1]])) if len(size) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(size)))
+    rank, count = np.arange(len(size)) - np.repeat(first, count), np.repeat(count, count)
     out = []
-    x = take(x, order)
-    # the earliest context of an anchor is in the index, but nothing stands before it
-    later = np.ones(len(n), bool)
-    later[np.unique(x["k"], return_index=True)[1]] = False
-    later = np.flatnonzero(later)
-    for who, place, earliest in index.stream(text, starts[later], (starts + n)[later]):
-        hit = earliest < place
-        who = later[who]
-        w, start = who[hit], (place - starts[who])[hit]
-        s = x["s"][w] + start
-        out.append({"d": x["d"][w], "h": x["h"][w], "s": s.astype(np.int32), "e": s.astype(np.int32)})
+    for bit in range(int(count.max(initial=1) - 1).bit_length()):
+        node = rank >> (bit + 1)  # only phrases of the same node meet: each has symbols of its own
+        later = np.flatnonzero(rank >> bit & 1)
+        earlier = np.flatnonzero((rank >> bit & 1 == 0) & ((2 * node + 1) << bit < count))
+        many = len(earlier)
+
+        def symbols(i: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+            n = size[i]
+            starts = np.cumsum(n + gap) - n - gap
+            text = np.zeros(int((n + gap).sum()), np.int64)
+            text[spread(n, starts)] = raw[spread(n, at[i])] + (many + 256 * np.repeat(node[i], n))
+            return text, starts
+
+        text, starts = symbols(earlier, 1)
+        text[starts + size[earlier]] = np.arange(many)
+        query, begins = symbols(later, 0)
+        index = RunIndex(text)
+        for who, place, found in index.stream(query, begins, begins + size[later]):
+            ok = same_bytes(query, place, text, found)
+            who, place = who[ok], place[ok]
+            w = later[who]
+            s = (x["s"][w] + place - begins[who]).astype(np.int32)
+            out.append({"d": x["d"][w], "h": x["h"][w], "s": s, "e": s})
     return join(out, MARK)
 
 
@@ -227,7 +270,7 @@ def _rows(p: list[tuple[int, bytes]], kind: int) -> pd.DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
-    n = width(docs.sparkSession)
+    n = shards(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     docs = docs.withColumn("h", F.xxhash64("text")).withColumn("d", F.coalesce("doc_id", F.lit(NO_ID)))
 
