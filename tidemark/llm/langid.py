@@ -1,13 +1,15 @@
 """Language identification by a linear-chain conditional random field.
 
-Every word of a text is labelled with a language: word scores from affixes, character n-grams and a lexicon of frequent
-training words (all hashed to one weight table), and learned transitions between neighbouring words' languages, combined by
-forward-backward. Training sequences are spliced from segments of texts in different languages, so that the transitions
-learn how often code-switched text changes language. A text's language is that with the largest total of word marginals,
+Every word of a text is labelled with a language: word scores from affixes, all its character bigrams and trigrams and a lexicon (the
+languages among whose most frequent training words it is), features being hashed to one weight table, and learned transitions between
+neighbouring words' languages, combined by forward-backward. Training sequences are spliced from segments of texts in different languages, so
+that the transitions learn how often code-switched text changes language. A text's language is that with the largest total of word marginals,
 its score their mean.
 
-Fitted on a bounded, documented sample: PER_LANG texts of each language, those with the least hash of their id outside the held-out
-fold, in segments spread over the whole text. Null texts and texts without letters are `und` with score 0. Repeated rows are labelled
+Words are runs of letters (Unicode categories L): digits, numerals such as a half or a Roman twelve, and marks are none. Fitted on a
+bounded, documented sample: PER_LANG texts of each language, those with the least hash of their id outside the held-out fold, in segments
+spread over the whole text; of an id's several texts the one with the least hash. The ids are found by a histogram over their hashes, so that
+only those below a language's threshold are ranked. Null texts and texts without letters are `und` with score 0. Repeated rows are labelled
 alike; without any training text every text with letters is `und`. An empty table gives an empty result; columns other than doc_id,
 text and lang are never read.
 """
@@ -15,7 +17,9 @@ text and lang are never read.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,36 +28,60 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold, materialize
+from .rindex import BASE, mix, spread
 
 PER_LANG, SEGMENT, SEGMENTS = 250, 12, 8
-BUCKETS, WIDTH = 1 << 15, 24
+BUCKETS = 1 << 15
+FREQUENT = 200  # words of each language in the lexicon
 STEPS, BATCH, SPLICES = 250, 96, 4
 KNOWN_WORDS = 300_000
 GROUP = 2000  # texts whose words run through forward-backward together
-WORD = re.compile(r"[^\W\d_]+")
-
-
-def features(word: str) -> list[int]:
-    """Hashed features of a word: itself, affixes, n-grams; WIDTH at most, the last ones of very long words being left to the affixes."""
-    w = word.lower()
-    marked = f"<{w}>"
-    names = ["w" + w[:40], "b", *(f"p{w[:n]}" for n in (1, 2, 3)), *(f"s{w[-n:]}" for n in (1, 2, 3))]
-    step = max(1, (2 * len(marked) - 3) // (WIDTH - len(names)) + 1)
-    grams = [marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(x.encode()) % BUCKETS for x in [*names, *grams[::step]]][:WIDTH]
-
-
-def matrix(words: list[str]) -> np.ndarray:
-    """Feature rows, padded by a bucket whose weight stays zero."""
-    out = np.full((len(words), WIDTH), BUCKETS, np.int32)
-    for i, w in enumerate(words):
-        f = features(w)
-        out[i, : len(f)] = f
-    return out
-
-
-def train(rows: list[tuple[list[list[str]], int]], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (BUCKETS + 1, k) and transitions (k, k) from (segments of a text, language), by Adam on the chain's log likelihood."""
+HASHES = 1 << 12  # of ids, in the histogram that finds the sample
+#: Characters that \w takes but that are neither letters nor decimal digits.
+NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{NUMERALS}]+")
+
+Lexicon = dict[str, str]
+
+
+def rows_of(words: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of words one after another, and where each word's begin: the word, its first and last three letters, every bigram and
+    trigram with the word's ends marked, its place in the lexicon, and one that all words have."""
+    low = [w.lower() for w in words]
+    c = np.frombuffer("".join(f"<{w}>" for w in low).encode("utf-32-le"), "<u4").astype(np.uint64)
+    size = np.fromiter(map(len, low), np.int64, len(low)) + 2
+    start, each = np.cumsum(size) - size, np.arange(len(low))
+    word = np.repeat(each, size)
+    pos = np.arange(len(c)) - start[word]
+
+    def gram(i: np.ndarray, n: int, kind: int) -> np.ndarray:
+        h = np.full(len(i), kind, np.uint64)
+        for j in range(n):
+            h = h * np.uint64(BASE) + c[i + j]
+        return mix(h)
+
+    two, three, longer = np.flatnonzero(size[word] - pos >= 2), np.flatnonzero(size[word] - pos >= 3), np.flatnonzero(size >= 5)
+    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(size.max()), BASE, np.uint64)]))
+    whole = mix(np.add.reduceat(c * power[pos], start))
+    known = np.array([zlib.crc32(f"in {lexicon.get(w, '')}".encode()) for w in low], np.uint64)
+    who = np.concatenate([word[two], word[three], longer, longer, each, each, each])
+    h = np.concatenate([gram(two, 2, 2), gram(three, 3, 3), gram(start[longer], 4, 4), gram(start[longer] + size[longer] - 4, 4, 5), whole, known, np.zeros(len(low), np.uint64)])
+    n = np.bincount(who, minlength=len(low))
+    return (h[np.argsort(who, kind="stable")] % np.uint64(BUCKETS)).astype(np.int32), np.cumsum(n) - n
+
+
+def frequent(rows: list[tuple[list[list[str]], int]], k: int) -> Lexicon:
+    """Word -> the languages (as text) among whose FREQUENT most frequent training words it is."""
+    out: dict[str, list[int]] = {}
+    for lang in range(k):
+        n = Counter(w.lower() for segs, y in rows if y == lang for s in segs for w in s)
+        for w in sorted(n, key=lambda w: (-n[w], w))[:FREQUENT]:
+            out.setdefault(w, []).append(lang)
+    return {w: str(x) for w, x in out.items()}
+
+
+def train(rows: list[tuple[list[list[str]], int]], k: int, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (BUCKETS, k) and transitions (k, k) from (segments of a text, language), by Adam on the chain's log likelihood."""
     rng = np.random.default_rng(7)
     pools = [[s for segs, y in rows if y == lang for s in segs if s] for lang in range(k)]
     pools_ok = [i for i in range(k) if pools[i]]
@@ -62,8 +90,9 @@ def train(rows: list[tuple[list[list[str]], int]], k: int) -> tuple[np.ndarray,
         for s in pool:
             for w in s:
                 vocabulary.setdefault(w, len(vocabulary))
-    feats = matrix(list(vocabulary))
-    w, a = np.zeros((BUCKETS + 1, k)), np.eye(k)
+    feats, begins = rows_of(list(vocabulary), lexicon)
+    sizes = np.diff(np.append(begins, len(feats)))
+    w, a = np.zeros((BUCKETS, k)), np.eye(k)
     mw, vw, ma, va = np.zeros_like(w), np.zeros_like(w), np.zeros_like(a), np.zeros_like(a)
     length = SEGMENT * SPLICES
     for step in range(1, STEPS + 1):
@@ -77,8 +106,10 @@ def train(rows: list[tuple[list[list[str]], int]], k: int) -> tuple[np.ndarray,
                 s = pools[lang][rng.integers(len(pools[lang]))]
                 ids[b, at : at + len(s)], ys[b, at : at + len(s)], mask[b, at : at + len(s)] = [vocabulary[x] for x in s], lang, True
                 at += len(s)
-        f = feats[ids]
-        e = w[f].sum(2)
+        used, which = np.unique(ids, return_inverse=True)
+        which, many = which.reshape(ids.shape), sizes[used]
+        f = feats[spread(many, begins[used])]
+        e = np.add.reduceat(w[f], np.cumsum(many) - many)[which]
         e -= e.max(2, keepdims=True)
         ex, ax = np.exp(e), np.exp(a)
         alpha, beta = np.zeros((BATCH, length, k)), np.ones((BATCH, length, k)) / k
@@ -102,9 +133,9 @@ def train(rows: list[tuple[list[list[str]], int]], k: int) -> tuple[np.ndarray,
         both = mask[:, 1:]
         np.add.at(seen, (ys[:, :-1][both], ys[:, 1:][both]), 1)
         n = mask.sum()
-        gw = np.stack([np.bincount(f.ravel(), np.repeat(diff[:, :, c].ravel(), WIDTH), BUCKETS + 1) for c in range(k)], 1) / n - 1e-6 * w
+        by_word = [np.bincount(which.ravel(), diff[:, :, c].ravel(), len(used)) for c in range(k)]
+        gw = np.stack([np.bincount(f, np.repeat(x, many), BUCKETS) for x in by_word], 1) / n - 1e-6 * w
         ga = (seen - pair) / n - 1e-4 * a
-        gw[BUCKETS] = 0
         for g, p, m, v in ((gw, w, mw, vw), (ga, a, ma, va)):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -143,8 +174,14 @@ def totals(emission: np.ndarray, starts: np.ndarray, lengths: np.ndarray, trans:
 def labelled(docs: DataFrame, modulus: int = 4, rest: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs."""
     docs = docs.selectExpr("cast(doc_id as long) as doc_id", "text", "lang")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = docs.where(F.col("lang").isNotNull() & ~fold(modulus, rest)).select("doc_id", "lang").distinct().withColumn("_r", rank).where(F.col("_r") <= PER_LANG).select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l"))
+    ids = docs.where(F.col("lang").isNotNull() & ~fold(modulus, rest)).select("doc_id", "lang").distinct().withColumn("_h", F.xxhash64("doc_id")).withColumn("_b", F.pmod("_h", F.lit(HASHES)))
+    # how many ids fall below each hash: HASHES rows a language at most
+    w = Window.partitionBy("lang").orderBy("_b")
+    before = ids.groupBy("lang", "_b").agg(F.count("*").alias("n")).withColumn("_before", F.sum("n").over(w) - F.col("n"))
+    cut = before.where(F.col("_before") < PER_LANG).groupBy("lang").agg(F.max("_b").alias("_cut"))
+    few = ids.join(cut.withColumnRenamed("lang", "_l"), F.col("lang") == F.col("_l")).where("_b <= _cut")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_b", "_h", "doc_id"))
+    chosen = few.withColumn("_r", rank).where(F.col("_r") <= PER_LANG).select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l"))
     chosen = materialize(chosen, "langid-sample")
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,12 +191,17 @@ def labelled(docs: DataFrame, modulus: int = 4, rest: int = 2) -> DataFrame:
                 w = WORD.findall(t or "")
                 at = np.unique(np.linspace(0, max(0, len(w) - SEGMENT), SEGMENTS).astype(int))
                 cut.append([" ".join(w[i : i + SEGMENT]) for i in at] if w else [])
-            yield pd.DataFrame({"segs": cut, "lang": pdf["lang"]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "segs": cut, "lang": pdf["lang"]})
 
-    sample = docs.join(chosen, (docs.doc_id == chosen._d) & (docs.lang == chosen._l)).select("text", "lang").mapInPandas(segments, "segs array<string>, lang string").collect()
+    texts = docs.join(chosen, (docs.doc_id == chosen._d) & (docs.lang == chosen._l))
+    # bounded: one text of an id, and its segments only
+    cut = texts.select("doc_id", "text", "lang").mapInPandas(segments, "doc_id long, segs array<string>, lang string")
+    sample = cut.groupBy("doc_id", "lang").agg(F.min_by("segs", F.struct(F.xxhash64("segs"), "segs")).alias("segs")).collect()
     rows = sorted((r.lang, [s for s in r.segs if s]) for r in sample)
     langs = sorted({lang for lang, s in rows if s})
-    weights, trans = train([([x.split() for x in s], langs.index(lang)) for lang, s in rows if s], len(langs)) if langs else (None, None)
+    spelled = [([x.split() for x in s], langs.index(lang)) for lang, s in rows if s]
+    lexicon = frequent(spelled, len(langs))
+    weights, trans = train(spelled, len(langs), lexicon) if langs else (None, None)
     step = np.exp(trans) if langs else None
     known: dict[str, int] = {}
     table: list[np.ndarray] = []
@@ -179,7 +221,8 @@ def labelled(docs: DataFrame, modulus: int = 4, rest: int = 2) -> DataFrame:
                     if new:
                         known.update(zip(new, range(len(known), len(known) + len(new))))
                         for a in range(0, len(new), 20_000):
-                            e = weights[matrix(new[a : a + 20_000])].sum(1)
+                            feats, begins = rows_of(new[a : a + 20_000], lexicon)
+                            e = np.add.reduceat(weights[feats], begins)
                             table.append(np.exp(np.maximum(e - e.max(1, keepdims=True), -30)))
                         table = [np.concatenate(table)]
                     get = known.__getitem__
