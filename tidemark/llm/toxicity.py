@@ -6,7 +6,9 @@ each voter votes which way in either class, and from what is left over how far v
 a voter counts less the more the others already say what it says. The model's posteriors, with the labels of training rows
 as one more, fallible voter, are the targets of a linear classifier over word presence and votes, which scores every document.
 
-Fitted on a bounded, documented sample: SAMPLE labelled rows, those with the least hash of their id, outside the held-out fold.
+Fitted on a bounded, documented sample: SAMPLE labelled ids, those with the least hash, outside the held-out fold, and of an id's several
+texts the one with the least hash. What a text shows, its distinct words and whether an address stands before a word, is cut out on
+the executors; the driver gets these sets only.
 Null and empty texts have no words and get the classifier's score for no evidence. Repeated rows score alike; labels repeated
 for an id count as toxic if any is. With no usable label the label model alone sets the weights. An empty table gives an empty
 result; columns other than doc_id, text and, of labels, toxic are never read.
@@ -53,6 +55,11 @@ def forms(words: list[str]) -> set[str]:
     return distinct | {w[:STEM] + "-" for w in distinct if len(w) > STEM}
 
 
+def after_address(words: list[str]) -> set[str]:
+    """Words that stand after an address."""
+    return {b for a, b in zip(words, words[1:]) if a in ADDRESS}
+
+
 class Voters:
     """Votes of a document's words: 1 toxic, -1 clean, 0 abstains."""
 
@@ -62,15 +69,14 @@ class Voters:
         self.names = [*LEXICONS, *(f"learned{g}" for g in range(GROUPS)), "addressed", "dense", "none"]
         self.all = frozenset().union(*self.sets, learned)
 
-    def __call__(self, words: list[str], present: set[str]) -> tuple[int, ...]:
+    def __call__(self, present: set[str], addressed: set[str]) -> tuple[int, ...]:
         hits = present & self.all
         out = [int(not s.isdisjoint(hits)) for s in self.sets]
         groups = {self.learned[w] for w in hits if w in self.learned}
         out += [int(g in groups) for g in range(GROUPS)]
         if not hits:
             return (*out, 0, 0, -1)
-        near = any(b in hits and a in ADDRESS for a, b in zip(words, words[1:]))
-        return (*out, int(near), int(len(hits) >= 2), 0)
+        return (*out, int(not addressed.isdisjoint(hits)), int(len(hits) >= 2), 0)
 
 
 def learn_lexicon(rows: list[tuple[set[str], int]]) -> dict[str, int]:
@@ -144,22 +150,24 @@ def scored(docs: DataFrame, labels: DataFrame, modulus: int = 5, rest: int = 0)
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"words": [" ".join(tokens(t)) for t in pdf["text"]], "toxic": pdf["toxic"]})
+            cut = [tokens(t) for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["doc_id"], "words": [" ".join(sorted(set(w))) for w in cut], "addressed": [" ".join(sorted(after_address(w))) for w in cut], "toxic": pdf["toxic"]})
 
-    sample = docs.join(chosen, docs.doc_id == chosen._l).select("text", "toxic").mapInPandas(words, "words string, toxic int").collect()
-    rows = sorted((r.words, int(r.toxic)) for r in sample)
-    rows = [(t.split(), y) for t, y in rows]
-    voters = Voters(learn_lexicon([(forms(t), y) for t, y in rows]))
+    cut = docs.join(chosen, docs.doc_id == chosen._l).select("doc_id", "text", "toxic").mapInPandas(words, "id long, words string, addressed string, toxic int")
+    sample = cut.groupBy("id").agg(F.min(F.struct(F.xxhash64("words"), "words", "addressed", "toxic")).alias("r")).select("r.words", "r.addressed", "r.toxic").collect()
+    rows = sorted((r.words, r.addressed, int(r.toxic)) for r in sample)
+    rows = [(forms(t.split()), set(a.split()), y) for t, a, y in rows]
+    voters = Voters(learn_lexicon([(t, y) for t, _, y in rows]))
 
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            c = Counter(voters(t, forms(t)) for t in map(tokens, pdf["text"]))
+            c = Counter(voters(forms(t), after_address(t)) for t in map(tokens, pdf["text"]))
             yield pd.DataFrame({"v": [list(k) for k in c], "n": list(c.values())})
 
     hist = docs.select("text").mapInPandas(votes, "v array<int>, n long").groupBy("v").agg(F.sum("n").alias("n")).collect()
     hist = sorted((tuple(r.v), r.n) for r in hist)
     size, k = 0, len(voters.names)
-    rate = (sum(y for _, y in rows) + 1) / (len(rows) + 10)
+    rate = (sum(y for *_, y in rows) + 1) / (len(rows) + 10)
     if hist:
         bias, weights = label_weights(np.array([v for v, _ in hist], float), np.array([c for _, c in hist], float), rate)
     else:
@@ -167,24 +175,24 @@ def scored(docs: DataFrame, labels: DataFrame, modulus: int = 5, rest: int = 0)
     vocabulary: dict[str, int] = {}
     linear = np.concatenate([weights[:, 2], [bias]])
     if rows:
-        vs = np.array([voters(t, forms(t)) for t, _ in rows])
+        vs = np.array([voters(t, a) for t, a, _ in rows])
         odds = bias + np.take_along_axis(weights[None], (vs + 1)[:, :, None], axis=2)[:, :, 0].sum(1)
         post = 1 / (1 + np.exp(-odds))
-        gold = np.array([y for _, y in rows], float)
+        gold = np.array([y for *_, y in rows], float)
         # the label as a voter: its own reliability in either class, from the posteriors
         hit, false = (post @ gold + 1) / (post.sum() + 2), ((1 - post) @ gold + 1) / ((1 - post).sum() + 2)
         says = np.where(gold == 1, np.log(hit / false), np.log((1 - hit) / (1 - false)))
         target = 1 / (1 + np.exp(-(odds + says)))
-        df = Counter(w for t, _ in rows for w in forms(t))
+        df = Counter(w for t, *_ in rows for w in t)
         lift = Counter()
-        for (t, _), p in zip(rows, target):
-            for w in forms(t):
+        for (t, *_), p in zip(rows, target):
+            for w in t:
                 lift[w] += p
         mean = target.mean()
         z = {w: abs(lift[w] - c * mean) / np.sqrt(c) for w, c in df.items() if c >= 4}
         vocabulary = {w: i for i, w in enumerate(sorted(z, key=lambda w: (-z[w], w))[:VOCABULARY])}
         size = len(vocabulary)
-        x = [np.array(sorted({vocabulary[w] for w in forms(t) if w in vocabulary}), np.int64) for t, _ in rows]
+        x = [np.array(sorted({vocabulary[w] for w in t if w in vocabulary}), np.int64) for t, *_ in rows]
         linear = fit_linear(x, vs.astype(float), target, size)
         # the cut that agrees with most training labels becomes score 0.5
         odds = np.array([linear[c].sum() for c in x]) + vs @ linear[size:-1] + linear[-1]
@@ -201,7 +209,7 @@ def scored(docs: DataFrame, labels: DataFrame, modulus: int = 5, rest: int = 0)
             out = np.empty(len(pdf))
             for i, t in enumerate(map(tokens, pdf["text"])):
                 present = forms(t)
-                v = np.array(voters(t, present), float)
+                v = np.array(voters(present, after_address(t)), float)
                 out[i] = linear[[vocabulary[w] for w in present & names]].sum() + linear[size:-1] @ v + linear[-1]
             p = 1 / (1 + np.exp(-out))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": p, "predicted": (p >= 0.5).astype("int32")})
