@@ -3,8 +3,8 @@
 A recording (16-bit mono PCM) becomes frames of the 12 pitch classes' energies. Sixteen filters, sums over rectangles of frames and
 classes read from an integral image, are quantised to two bits each and packed into one 32-bit integer for every frame position.
 Two recordings are aligned by seeds, integers that differ in no more than MAX_ERROR of their bits (an offset whose share of differing bits
-is accepted has one at least): the seeds' offsets form a histogram, of the offsets with the most seeds the one with the least share of
-differing bits over the overlap is taken, and that share decides. Equal integers as seeds would miss most of the accepted range, and keys of
+is accepted has one at least): the seeds' offsets form a histogram, every offset in it is tried, the one with the least share of
+differing bits over the overlap is taken (of equal ones that with the most seeds), and that share decides. So no pair is missed that some offset accepts. Equal integers as seeds would miss most of the accepted range, and keys of
 few enough bits to find it meet in nearly every pair, so a query is compared with every recording, block by block: the work is queries x
 recordings, only pairs that align leave a task.
 
@@ -27,11 +27,11 @@ from .common import materialize, width
 
 RATE, FRAME, HOP, NOTE = 4000, 1024, 320, 320
 LOWEST, HIGHEST = 110.0, 1760.0
-#: Filters (kind, first pitch class, classes, frames) in order, and the three cuts that quantise each (fixed values of this format).
+#: This operator's own format: filters (kind, first pitch class, classes, frames) in order, and three cuts that quantise each.
 FILTERS = [(0, 0, 3, 15), (1, 4, 4, 14), (2, 4, 4, 11), (3, 0, 4, 14), (4, 8, 2, 4), (5, 5, 6, 15), (1, 9, 2, 16), (3, 8, 4, 10), (3, 4, 4, 14), (3, 8, 2, 4), (4, 4, 4, 8), (5, 0, 6, 6), (0, 8, 4, 12), (2, 0, 8, 16), (4, 0, 6, 10), (1, 0, 6, 8)]
 CUTS = (-0.08, 0.0, 0.08)
 SPAN = 16  # frames that the widest filter takes
-MAX_ERROR, MIN_OVERLAP = 0.18, 16
+MAX_ERROR, MIN_OVERLAP = 0.18, 24
 BLOCK = 512  # recordings that are compared at once
 
 
@@ -121,7 +121,7 @@ def rendered(vectors: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def compared(query: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The offset with the most seeds (of those, with the least share of differing bits; then the nearest) and that share, for each of rows.
+    """The least share of differing bits over the offsets that have a seed, and its offset (of equal ones that with the most seeds, then the nearest), for each of rows.
 
     rows: recordings of one length as columns; a share of 2 where no offset has MIN_OVERLAP and a seed."""
     n, m = len(query), len(rows)
@@ -132,7 +132,7 @@ def compared(query: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
         if overlap >= MIN_OVERLAP:
             bits = np.bitwise_count(r[:overlap] ^ q[:overlap, None])
             seeds, e = (bits <= int(32 * MAX_ERROR)).sum(0), bits.sum(0, dtype=np.uint32) / (32 * overlap)
-            better = (seeds > most) | ((seeds == most) & (seeds > 0) & (e < error))
+            better = (seeds > 0) & ((e < error) | ((e == error) & (seeds > most)))
             error[better], best[better], most[better] = e[better], offset, seeds[better]
     return error, best
 
