@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chaining, chroma, langid, mixing, pii, quality, rindex, simhash, toxicity
 from .common import read_table
 
-#: The vocabulary file's place; every machine has it there.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+#: The vocabulary file's place; every machine has the package at the same path.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
