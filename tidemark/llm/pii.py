@@ -1,15 +1,16 @@
 """Personal data by weak-supervision aggregation (native).
 
 Base spans (email, ip, card, phone) follow fixed patterns. Further candidates, long tokens with digits and number
-groups, are put before labelers: regular expressions on their shape, a gazetteer of key words before them,
+groups outside base spans, are put before labelers: regular expressions on their shape, a gazetteer of key words before them,
 and the context around them. Each labeler votes personal (1), harmless (-1) or abstains (0).
 Expectation-maximisation over the histogram of votes estimates each labeler's reliability, and its posteriors
 train the final span classifier: a naive Bayes model over votes and span shape, closed-form from soft counts.
 Spans it accepts are added as kinds secret and number; base spans always stay.
 
 Null and empty texts have no spans. Repeated rows are treated alike; an empty table gives an empty result;
-columns other than doc_id and text are never read. Patterns run in linear time on very long texts (possessive
-quantifiers, run starts only), positions are summed in blocks of 256 matches.
+columns other than doc_id and text are never read. Very long texts with many spans take time in proportion to their length: patterns have
+possessive quantifiers and begin at run starts only, running sums go by blocks of 256 spans, and parts of a text are taken from its
+chunks of CHUNK characters, not from its beginning.
 """
 
 from __future__ import annotations
@@ -61,41 +62,83 @@ LABELERS = {
 }
 
 
+CHUNK, BLOCK = 4096, 256
+
+
+def let(name: str, value: str, body: str) -> str:
+    """SQL of body with a name for value, which is worked out once: a column that a lambda mentions could be worked out again for each element."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def scan(items: str, state: str, start: str, row: str, after: str, out: str) -> str:
+    """SQL of a running computation over an array, by blocks so that no long array is copied for each element.
+
+    state, start: the running value's name in row and after, and its first value; row: what element y gives; after: the next running value; out: row's type."""
+    inner = f"aggregate(slice(acc.x, b * {BLOCK} + 1, {BLOCK}), named_struct('p', acc.p, 'o', cast(array() as array<{out}>)), ({state}, y) -> named_struct('p', {after}, 'o', concat({state}.o, array({row}))))"
+    step = let("z", f"named_struct('acc', acc, 'i', {inner})", "named_struct('p', z.i.p, 'o', concat(z.acc.o, array(z.i.o)), 'x', z.acc.x)")
+    return f"flatten(aggregate(sequence(0, greatest(0, size({items}) - 1) div {BLOCK}), named_struct('p', {start}, 'o', cast(array() as array<array<{out}>>), 'x', {items}), (acc, b) -> {step}).o)"
+
+
 def _spans(m: str, gaps: str) -> Column:
-    """array<struct(s, e, m)> from the arrays of matches and of what stands between them: a running sum, in blocks."""
-    inner = """aggregate(slice(x, b * 256 + 1, 256), named_struct('p', acc.p, 'o', cast(array() as array<struct<s: int, e: int, m: string>>)),
-        (a, y) -> named_struct('p', a.p + y.g + length(y.m), 'o', concat(a.o, array(named_struct('s', a.p + y.g, 'e', a.p + y.g + length(y.m), 'm', y.m)))))"""
+    """array<struct(s, e, m)> from the arrays of matches and of what stands between them: a running sum."""
     zipped = f"zip_with({m}, slice({gaps}, 1, size({m})), (m, g) -> named_struct('m', m, 'g', length(g)))"
-    return F.expr(f"""flatten(aggregate(sequence(0, greatest(0, size({m}) - 1) div 256), named_struct('p', 0, 'o', cast(array() as array<array<struct<s: int, e: int, m: string>>>), 'x', {zipped}),
-        (acc, b) -> transform(array(named_struct('acc', acc, 'i', {inner.replace('slice(x,', 'slice(acc.x,')})), z -> named_struct('p', z.i.p, 'o', concat(z.acc.o, array(z.i.o)), 'x', z.acc.x))[0]).o)""")
+    return F.expr(scan(zipped, "a", "0", "named_struct('s', a.p + y.g, 'e', a.p + y.g + length(y.m), 'm', y.m)", "a.p + y.g + length(y.m)", "struct<s: int, e: int, m: string>"))
+
+
+def chunks(text: str) -> str:
+    return f"regexp_extract_all({text}, '(?s).{{1,{CHUNK}}}', 0)"
+
+
+def piece(c: str, a: str, b: str) -> str:
+    """SQL of characters a to b (exclusive) of a text whose chunks are c."""
+    i, j = f"(({a}) div {CHUNK})", f"(({b} - 1) div {CHUNK})"
+    one = f"substring({c}[{i}], ({a}) % {CHUNK} + 1, ({b}) - ({a}))"
+    more = f"concat(substring({c}[{i}], ({a}) % {CHUNK} + 1), array_join(slice({c}, int({i}) + 2, int({j} - {i}) - 1), ''), substring({c}[{j}], 1, int(({b} - 1) % {CHUNK} + 1)))"
+    return f"case when {a} >= {b} then '' when {i} = {j} then {one} else {more} end"
+
+
+def replaced(text: str, spans: str, begun: str, inside: str) -> str:
+    """SQL of a text with sorted spans y(s, k, e) replaced: by `begun` where a span begins after all before it, else by `inside`. f: where those end."""
+    held = scan(spans, "a", "0", "named_struct('s', y.s, 'k', y.k, 'e', y.e, 'f', a.p)", "greatest(a.p, y.e)", "struct<s: int, k: int, e: int, f: int>")
+    out = f"concat(array_join(transform(r, y -> if(y.s >= y.f, concat({piece('c', 'y.f', 'y.s')}, {begun}), {inside})), ''), {piece('c', 'greatest(element_at(r, -1).f, element_at(r, -1).e)', f'length({text})')})"
+    return let("c", chunks(text), let("r", held, out))
+
+
+NO_SPANS = "array<struct<s: int, e: int, m: string>>"
+
+
+def found(x: DataFrame, text: str, kind: str, may: Column) -> DataFrame:
+    """x with a column _<kind> of the kind's matches in text."""
+    if kind in NEEDS:
+        may = may & F.contains(F.col(text), F.lit(NEEDS[kind]))
+    x = x.withColumn("_m", F.when(may, F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    x = x.withColumn("_g", F.when(F.size("_m") > 0, F.split(text, PATTERNS[kind], -1)).otherwise(F.array().cast("array<string>")))
+    return x.withColumn(f"_{kind}", F.when(F.size("_m") > 0, _spans("_m", "_g")).otherwise(F.array().cast(NO_SPANS)))
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """docs with one array column _<kind> for each kind: base spans that hold, and all candidates of the added kinds."""
+    """docs with _all (base spans that hold, in their order), n_<kind> and _found (candidates of the added kinds with their votes)."""
     x = docs.withColumn("_t", F.coalesce(F.col("text"), F.lit("")))
-    none = F.array().cast("array<struct<s: int, e: int, m: string>>")
     digits = F.col("_t").rlike("[0-9]")
-    for kind, pattern in PATTERNS.items():
-        may = digits if kind != "email" else F.lit(True)
-        if kind in NEEDS:
-            may = may & F.contains(F.col("_t"), F.lit(NEEDS[kind]))
-        x = x.withColumn("_m", F.when(may, F.regexp_extract_all("_t", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
-        x = x.withColumn("_g", F.when(F.size("_m") > 0, F.split("_t", pattern, -1)).otherwise(F.array().cast("array<string>")))
-        x = x.withColumn(f"_{kind}", F.when(F.size("_m") > 0, _spans("_m", "_g")).otherwise(none))
+    for kind in KINDS[:4]:
+        x = found(x, "_t", kind, digits if kind != "email" else F.lit(True))
     number = lambda c: F.regexp_replace(c, "[^0-9]", "")
     x = x.withColumn("_ip", F.filter("_ip", lambda v: v["m"].rlike(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$")))
     luhn = "aggregate(sequence(1, length(d)), 0, (a, i) -> a + case when i % 2 = 1 then int(substring(d, -i, 1)) else 2 * int(substring(d, -i, 1)) - if(int(substring(d, -i, 1)) > 4, 9, 0) end) % 10 = 0"
     x = x.withColumn("_card", F.expr(f"filter(_card, v -> transform(array(regexp_replace(v.m, '[^0-9]', '')), d -> {luhn})[0])"))
     x = x.withColumn("_phone", F.filter("_phone", lambda v: F.length(number(v["m"])).between(10, 15)))
-    # candidates keep only what the classifier looks at, and none lies inside a base span
-    x = x.withColumn("_base", F.concat("_email", "_ip", "_card", "_phone"))
+    x = x.withColumn("_all", F.expr("array_sort(concat(" + ", ".join(_named(k) for k in KINDS[:4]) + "))"))
+    # candidates are looked for in what base spans leave, and keep only what the classifier looks at
+    blank = replaced("_t", "_all", "repeat(' ', y.e - y.s)", "repeat(' ', greatest(0, y.e - y.f))")
+    x = x.withColumn("_b", F.when(F.size("_all") > 0, F.expr(blank)).otherwise(F.col("_t")))
     for kind in ("secret", "number"):
-        x = x.withColumn(f"_{kind}", F.filter(f"_{kind}", lambda v: ~F.exists("_base", lambda b: (b["s"] < v["e"]) & (v["s"] < b["e"]))))
-        x = x.withColumn(f"_{kind}", F.expr(f"transform(_{kind}, v -> named_struct('s', v.s, 'e', v.e, 'm', v.m, 'l', substring(_t, greatest(1, v.s + 1 - {CONTEXT}), least({CONTEXT}, v.s)), 'r', substring(_t, v.e + 1, 2)))"))
+        x = found(x, "_b", kind, digits)
+        around = f"transform(_{kind}, v -> named_struct('s', v.s, 'e', v.e, 'm', v.m, 'l', {piece('c', f'greatest(0, v.s - {CONTEXT})', 'v.s')}, 'r', {piece('c', 'v.e', 'least(v.e + 2, n)')}))"
+        x = x.withColumn(f"_{kind}", F.when(F.size(f"_{kind}") > 0, F.expr(let("c", chunks("_b"), let("n", "length(_b)", around)))).otherwise(F.array().cast("array<struct<s: int, e: int, m: string, l: string, r: string>>")))
     votes = ", ".join(f"'{k}', int(case when {good.replace('l rlike', 'v.l rlike').replace('r rlike', 'v.r rlike').replace('m rlike', 'v.m rlike').replace('(m', '(v.m')} then 1 when {bad.replace('l rlike', 'v.l rlike').replace('r rlike', 'v.r rlike').replace('m rlike', 'v.m rlike').replace('(m', '(v.m')} then -1 else 0 end)" for k, (good, bad) in LABELERS.items())
     shape = "case when length(v.m) < 20 then 0 when length(v.m) < 32 then 1 when length(v.m) < 48 then 2 else 3 end"
     x = x.withColumn("_found", F.expr(" , ".join(["concat(" + ", ".join(f"transform(_{k}, v -> named_struct('s', v.s, 'e', v.e, 'k', {KINDS.index(k)}, 'shape', {shape}, 'votes', named_struct({votes})))" for k in ("secret", "number")) + ")"])))
-    return x.drop("_t", "_m", "_g", "_secret", "_number", "_base")
+    return x.select(*docs.columns, "_all", "_found", *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:4]])
 
 
 Model = tuple[float, dict[str, dict[int, float]]]
@@ -133,10 +176,7 @@ def _named(kind: str) -> str:
 
 def detected(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base spans, base_sha256, spans. One scan of the texts; the spans found are kept in between."""
-    x = with_spans(docs.select("doc_id", "text")).drop("text")
-    base = "concat(" + ", ".join(_named(k) for k in KINDS[:4]) + ")"
-    x = x.select("doc_id", "_found", F.expr(base).alias("_all"), *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:4]])
-    x = materialize(x, "pii-spans")
+    x = materialize(with_spans(docs.select("doc_id", "text")).drop("text"), "pii-spans")
     model = fit_on(x)
     kept = f"transform(filter(_found, c -> {odds(model, 'c.votes', 'c.shape')} >= 0), c -> struct(c.s as s, c.k as k, c.e as e))"
     x = x.withColumn("_both", F.expr(f"concat(_all, {kept})"))
@@ -144,18 +184,17 @@ def detected(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span in text replaced by its kind in angle brackets (spans that overlap: by the first one's)."""
-    model = fit_on(with_spans(docs.select("text")).select("_found"))
+    """docs with every span in text replaced by its kind in angle brackets (spans that overlap: by the first one's), and n_chars made to agree.
+
+    Null and empty texts stay as they are, repeated rows are redacted alike, an empty table gives an empty result. Spans are found once and
+    written beside their rows."""
     names = docs.columns
     x = with_spans(docs.select(F.struct(*[F.col(c) for c in names]).alias("_row"), "text"))
+    x = materialize(x.select("_row", "_all", "_found"), "pii-rows")
+    model = fit_on(x)
     kept = f"transform(filter(_found, c -> {odds(model, 'c.votes', 'c.shape')} >= 0), c -> struct(c.s as s, c.k as k, c.e as e))"
-    x = x.withColumn("_both", F.expr("array_sort(concat(" + ", ".join(_named(k) for k in KINDS[:4]) + f", {kept}))"))
-    merged = """aggregate(_both, cast(array() as array<struct<s: int, k: int, e: int>>), (a, v) ->
-        if(size(a) > 0 and element_at(a, -1).e > v.s, concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).s as s, element_at(a, -1).k as k, greatest(element_at(a, -1).e, v.e) as e))), concat(a, array(v))))"""
-    x = x.withColumn("_u", F.expr(merged))
+    x = x.withColumn("_both", F.expr(f"array_sort(concat(_all, {kept}))"))
     kinds = ", ".join(f"'<{k}>'" for k in KINDS)
-    text = f"""concat(array_join(transform(_u, (v, i) -> concat(substring(text, if(i = 0, 1, _u[i - 1].e + 1), v.s - if(i = 0, 0, _u[i - 1].e)), array({kinds})[v.k])), ''),
-        substring(text, element_at(_u, -1).e + 1))"""
-    x = x.withColumn("_new", F.when(F.size("_u") > 0, F.expr(text)).otherwise(F.col("text")))
+    x = x.withColumn("_new", F.when(F.size("_both") > 0, F.expr(replaced("_row.text", "_both", f"array({kinds})[y.k]", "''"))).otherwise(F.col("_row.text")))
     out = [F.col("_new").alias("text") if c == "text" else (F.length("_new").cast("long").alias(c) if c == "n_chars" else F.col(f"_row.{c}").alias(c)) for c in names]
     return x.select(*out)
