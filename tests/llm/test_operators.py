@@ -57,6 +57,15 @@ def test_quality_base(docs, texts):
         assert r.base_failed == (len(w) < 20 or 100 * len(again) > 30 * len(w)) and not (r.base_failed and r.kept)
 
 
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_quality_finds_bad_documents_that_pass_the_base(spark, sf):
+    at = f"/root/testdata/sf{sf}"
+    labelled = spark.read.parquet(f"{at}/labels.parquet").selectExpr("doc_id", "quality as label").where("label is not null")
+    r = quality.scored(spark.read.parquet(f"{at}/documents.parquet")).where("not base_failed").join(labelled, "doc_id")
+    good = {x.label: x.kept for x in r.groupBy("label").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert good[1] > 0.97 and good[0] < 0.05
+
+
 def test_quality_stage_keeps_what_the_query_keeps(docs):
     assert sorted(r.doc_id for r in quality.keep_good(docs).collect()) == sorted(r.doc_id for r in quality.scored(docs).where("kept").collect())
 
@@ -81,10 +90,13 @@ def test_simhash_against_all_pairs(docs, texts):
     assert {i: got[i].component_id for i in ids} == root
 
 
-def test_simhash_links_find_planted_bits(spark):
-    rnd, base = random.Random(1), [random.Random(2).getrandbits(64) for _ in range(40)]
+@pytest.mark.parametrize("longest", [400, 30, 3])
+def test_simhash_links_find_planted_bits(spark, longest):
+    rnd = random.Random(1)
+    base = [rnd.getrandbits(64) for _ in range(40)]
     fps = {x ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(6))) for x in base for _ in range(12)}
-    got = {r.node: r.root for r in graph.components(simhash.links(spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long")), "t").collect()}
+    fps |= {base[0] ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(4))) for _ in range(200)}
+    got = {r.node: r.root for r in graph.components(simhash.links(spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp long"), longest), "t").collect()}
     a = np.array(sorted(fps), np.uint64)
     group = {}
     for x in a:
@@ -134,6 +146,18 @@ def test_pii_adds_keys_and_redacts(spark):
     assert pii.redact(d).where("doc_id = 3").first().text == 'see token = "<secret>" or <email> now 3'
 
 
+def test_redaction_against_its_spans(spark, docs, texts):
+    long = " ".join(f"w{i} x@y{i}.com +1 (017) 555-7713 key=0123456789abcdef0123456789abcdef01234567 4111 1111 1111 1111@z.de" + " é🎉" * 300 for i in range(120))
+    d = docs.select("doc_id", "text").union(spark.createDataFrame([(10**6, long)], "doc_id long, text string"))
+    spans = {r.doc_id: r.spans for r in pii.detected(d).collect()}
+    for r in pii.redact(d).collect():
+        t, out, upto = (texts | {10**6: long})[r.doc_id], "", 0
+        for k, a, b in ((k, int(a), int(b)) for k, a, b in (x.split(":") for x in spans[r.doc_id].split(",") if x)):
+            out += t[upto:a] + f"<{k}>" if a >= upto else ""
+            upto = max(upto, b)
+        assert r.text == out + t[upto:]
+
+
 def test_mixing_against_sql(spark):
     assert spark_rows(queries.op6_mixing(spark, SF)) == duck(SF, queries.ORACLE["op6_mixing"])
 
@@ -168,6 +192,25 @@ def test_langid_held_out_and_switches(spark):
     assert np.mean([x.lang_pred == lang[x.doc_id] for x in r]) > 0.97
 
 
+def test_langid_knows_letters_only(spark):
+    d = spark.createDataFrame([(i, w, lang) for i in range(40) for w, lang in [("the house and the garden " * 3, "en"), ("das Haus und der Garten " * 3, "de")]] + [(900, "½ ² Ⅷ 12 _ --", None), (901, "m²", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.labelled(d).where("doc_id >= 900").collect()}
+    assert got[900] == ("und", 0.0) and got[901][0] in ("de", "en")
+
+
+def test_samples_stay_bounded_when_ids_repeat(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 5)
+    monkeypatch.setattr(langid, "PER_LANG", 3)
+    seen = []
+    learn, train = toxicity.learn_lexicon, langid.train
+    monkeypatch.setattr(toxicity, "learn_lexicon", lambda rows: seen.append(len(rows)) or learn(rows))
+    monkeypatch.setattr(langid, "train", lambda rows, *a: seen.append(len(rows)) or train(rows, *a))
+    rows = [(i % 20, f"some words number {'abcdefgh'[i % 8]} here", "en" if i % 2 else "de", int(i % 3 == 0)) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    assert toxicity.scored(d, d.select("doc_id", "toxic")).count() == langid.labelled(d).count() == 200
+    assert seen[0] <= 5 and seen[1] <= 6
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(1)
     e, a, lengths = rng.random((9, 2)), rng.random((2, 2)), np.array([3, 5, 1])
@@ -183,6 +226,19 @@ def test_forward_backward_is_exact():
         assert np.allclose(row, total / mass)
 
 
+def test_matching_statistics_against_all_matches():
+    rng = np.random.default_rng(5)
+    parts = [rng.integers(0, 3, n) for n in (260, 300, 240)]
+    parts[1][40:190] = parts[0][100:250]
+    query = np.concatenate([rng.integers(0, 3, 50), parts[1][20:200], rng.integers(0, 3, 70), parts[2][30:170]])
+    text = np.concatenate([np.append(p + len(parts), i) for i, p in enumerate(parts)]).astype(np.int64)
+    index, x = rindex.RunIndex(text), (query + len(parts)).astype(np.int64)
+    got = {int(w): int(p) for _, ws, ps in index.stream(x, np.array([0]), np.array([len(x)])) for w, p in zip(ws, ps)}
+    windows = {tuple(text[i : i + rindex.LENGTH]) for i in range(len(text) - rindex.LENGTH + 1)}
+    assert set(got) == {i for i in range(len(x) - rindex.LENGTH + 1) if tuple(x[i : i + rindex.LENGTH]) in windows}
+    assert all((x[i : i + rindex.LENGTH] == text[p : p + rindex.LENGTH]).all() for i, p in got.items())
+
+
 def test_rindex_against_all_windows(spark):
     rnd = random.Random(3)
     base = ["".join(rnd.choice("abcdefgh ") for _ in range(600)) for _ in range(5)]
@@ -225,7 +281,7 @@ def test_chaining_finds_fuzzy_passages(spark):
     got = {r.doc_id: r for r in chaining.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert {i for i, r in got.items() if r.n_passages} == {9, 12, 25}
     assert {i for i, r in got.items() if r.class_id != i} == {9, 12, 25} and {got[i].class_id for i in (9, 12, 25)} == {3}
-    assert [(p.start, p.end) for p in got[25].passages] == [(40, 117)]
+    assert [(p.start, p.end, p.ref_doc_id) for p in got[25].passages] == [(40, 117, 3), (40, 117, 9), (40, 117, 12)]
 
 
 def chained_rows(spark, rows, tasks=3):
@@ -260,6 +316,35 @@ def test_chaining_links_lines_that_began_in_different_documents(spark):
         assert {i: r.class_id for i, r in got.items()} == {i: want.get(i, i) for i, _ in rows}
 
 
+def test_chaining_links_copies_whose_halves_began_elsewhere(spark):
+    rnd = random.Random(9)
+    some = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    x = some(54)
+    rows = [(0, x[:27] + some(60)), (1, some(40) + x[27:]), (2, some(20) + x + some(15)), (3, x + some(50))]
+    for tasks in (1, 2, 3):
+        assert {i: r.class_id for i, r in chained_rows(spark, rows, tasks).items()} == {0: 0, 1: 1, 2: 2, 3: 2}
+    assert {i: r.class_id for i, r in chained_rows(spark, rows[2:], 1).items()} == {2: 2, 3: 2}
+
+
+@pytest.mark.parametrize("share, words, least", [(0.0, 40, 1.0), (0.05, 60, 0.98), (0.1, 60, 0.9), (0.15, 100, 0.9)])
+def test_chaining_recall_of_edited_passages(spark, share, words, least):
+    rnd = random.Random(11)
+    some = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    rows, pairs = [], []
+    for g in range(60):
+        x = some(words)
+        for k in range(2):
+            y = [some(1)[0] if k and rnd.random() < share else w for w in x]
+            rows.append((2 * g + k, some(50) + y + some(50)))
+        pairs.append((rows[-2], rows[-1]))
+    classes = [{i: r.class_id for i, r in chained_rows(spark, rows, tasks).items()} for tasks in (1, 3, 5)]
+    assert classes[0] == classes[1] == classes[2]
+    # brute force: the edited words of a pair stand at the same places
+    alike = [(a[0], b[0]) for a, b in pairs if sum(u == v for u, v in zip(a[1][50:-50], b[1][50:-50])) >= chaining.IDENTITY * words]
+    assert sum(classes[0][a] == classes[0][b] for a, b in alike) >= least * len(alike) and len(alike) >= 50
+    assert sum(i != c for i, c in classes[0].items()) <= len(pairs)
+
+
 def test_edit_distance_in_a_band():
     rnd = random.Random(2)
     for _ in range(150):
@@ -320,6 +405,44 @@ def test_chroma_finds_all_pairs_within_the_error(spark):
     assert got == {(i, 100 + i): (7, 0.15625) for i in range(12)}
 
 
+def test_chroma_recall_against_all_offsets(spark):
+    prints = chroma.fingerprints(chroma.rendered(spark.read.parquet(f"{SF}/embeddings.parquet"), "vec_id", "embedding")).collect()
+    prints = {r.id: np.array(r.prints, np.int32).view(np.uint32) for r in prints}
+    want = set()
+    for q, x in prints.items():
+        if q % 50 == 0:
+            for o, y in prints.items():
+                for off in range(chroma.MIN_OVERLAP - len(x), len(y) - chroma.MIN_OVERLAP + 1):
+                    a, b = x[max(0, -off) :], y[max(0, off) :]
+                    n = min(len(a), len(b))
+                    if q != o and n >= chroma.MIN_OVERLAP and np.bitwise_count(a[:n] ^ b[:n]).sum() <= chroma.MAX_ERROR * 32 * n:
+                        want.add(frozenset((q, o)))
+                        break
+    c = spark.createDataFrame([(i, x.view(np.int32).tolist()) for i, x in prints.items()], "class_id long, prints array<int>")
+    got = {frozenset((r["query"], r.other)) for r in chroma.alignments(c, c.where("class_id % 50 = 0")).collect()}
+    assert got == want
+
+
+def test_chroma_edge_cases(spark):
+    tune, long = chroma.render(np.arange(64) % 7), chroma.render(np.arange(3000) % 11)
+    rows = [(1, tune), (2, None), (3, b""), (4, b"\0"), (5, tune), (5, tune), (None, tune), (6, long), (7, b"\0" * 90_000), (8, b"\0" * 90_000)]
+    d = spark.createDataFrame([(*r, 1, "x", "y") for r in rows], "id long, pcm binary, class_id int, key string, prints string")
+    got = chroma.searched(d, every=1).collect()
+    assert Counter(r.id for r in got) == Counter(i for i, _ in rows)
+    assert {r.class_id for r in got if r.id in (1, 5)} == {1} and {r.class_id for r in got if r.id in (7, 8)} == {7}
+    assert chroma.searched(d.limit(0)).count() == 0
+
+
+def test_bpe_query_against_the_library(spark, docs, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.VOCABULARY)
+    for r in queries.op10_bpe(spark, SF).collect():
+        ids = t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_pipeline_against_its_stages(spark, docs, texts):
     import corpus_pipeline
 
@@ -331,3 +454,13 @@ def test_pipeline_against_its_stages(spark, docs, texts):
         root = {i: min(root[j] for j in kept if (f[i] ^ f[j]).bit_count() <= 4) for i in kept}
     assert set(got) <= {i for i in kept if root[i] == i} and max(got.values()) <= 2
     assert len(got) >= 0.8 * len({*root.values()})
+
+
+def test_pipeline_of_edge_tables(spark, edge, empty, tmp_path):
+    import corpus_pipeline
+
+    for name, d in (("edge", edge), ("empty", empty)):
+        d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/edge")
+    assert {r.doc_id for r in got.collect()} <= {r.doc_id for r in edge.collect()}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
