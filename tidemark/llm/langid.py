@@ -38,12 +38,19 @@ KNOWN_WORDS = 300_000
 GROUP = 2000  # texts whose words run through forward-backward together
 HASHES = 1 << 12  # of ids, in the histogram that finds the sample
 #: Characters that \w takes but that are neither letters nor decimal digits.
-NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{NUMERALS}]+")
+NUMERAL = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
+WORD = re.compile(r"[^\W\d_]+")
 
 Lexicon = dict[str, str]
 
 
+def words_in(text: str | None) -> list[str]:
+    """Runs of letters."""
+    if text and not text.isascii() and NUMERAL.search(text):
+        text = NUMERAL.sub(" ", text)
+    return WORD.findall(text) if text else []
+
+
 def rows_of(words: list[str], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of words one after another, and where each word's begin: the word, its first and last three letters, every bigram and
     trigram with the word's ends marked, its place in the lexicon, and one that all words have."""
@@ -179,7 +186,8 @@ def labelled(docs: DataFrame, modulus: int = 4, rest: int = 2) -> DataFrame:
     w = Window.partitionBy("lang").orderBy("_b")
     before = ids.groupBy("lang", "_b").agg(F.count("*").alias("n")).withColumn("_before", F.sum("n").over(w) - F.col("n"))
     cut = before.where(F.col("_before") < PER_LANG).groupBy("lang").agg(F.max("_b").alias("_cut"))
-    few = ids.join(cut.withColumnRenamed("lang", "_l"), F.col("lang") == F.col("_l")).where("_b <= _cut")
+    # one row a language, and there are no more languages than names of them: small enough to be sent to every task
+    few = ids.join(F.broadcast(cut.withColumnRenamed("lang", "_l")), F.col("lang") == F.col("_l")).where("_b <= _cut")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_b", "_h", "doc_id"))
     chosen = few.withColumn("_r", rank).where(F.col("_r") <= PER_LANG).select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l"))
     chosen = materialize(chosen, "langid-sample")
@@ -188,7 +196,7 @@ def labelled(docs: DataFrame, modulus: int = 4, rest: int = 2) -> DataFrame:
         for pdf in batches:
             cut = []
             for t in pdf["text"]:
-                w = WORD.findall(t or "")
+                w = words_in(t)
                 at = np.unique(np.linspace(0, max(0, len(w) - SEGMENT), SEGMENTS).astype(int))
                 cut.append([" ".join(w[i : i + SEGMENT]) for i in at] if w else [])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "segs": cut, "lang": pdf["lang"]})
@@ -211,7 +219,7 @@ def labelled(docs: DataFrame, modulus: int = 4, rest: int = 2) -> DataFrame:
         for pdf in batches:
             for at in range(0, len(pdf), GROUP):
                 part = pdf.iloc[at : at + GROUP]
-                found = [WORD.findall(t) if t else [] for t in part["text"]]
+                found = [words_in(t) for t in part["text"]]
                 pred, score = np.full(len(part), "und", object), np.zeros(len(part))
                 some = [i for i, w in enumerate(found) if w] if langs else []
                 if some:
