@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import hashing, udf
 from .functions import json as js
 from .operators import debezium, joins, topn, updating, windows
+from .plans.rewrite import rewrite
 from .plans.script import Engine
 from .session import table
 
@@ -68,7 +69,7 @@ def scalar_string(spark, d):
 @query("""SELECT l_orderkey, l_linenumber, abs(-l_quantity) AS a, ceil(l_tax * 10)::BIGINT AS c, floor(l_extendedprice)::BIGINT AS f, round(sqrt(l_quantity), 6) AS s, round(power(l_quantity, 2), 6) AS p,
     round(ln(l_quantity), 6) AS ln1, round(log10(l_quantity), 6) AS lg, round(exp(l_discount), 6) AS ex, sign(l_discount)::INTEGER AS sg, l_orderkey % 7 AS md, gcd(l_orderkey, 12)::BIGINT AS g, round(sin(l_quantity), 6) AS sn, (l_orderkey // 3)::BIGINT AS dv FROM lineitem""")
 def scalar_math(spark, d):
-    gcd = "aggregate(array(12, 6, 4, 3, 2, 1), 0L, (a, x) -> if(a = 0 and l_orderkey % x = 0, bigint(x), a)) AS g"
+    gcd = rewrite("gcd(l_orderkey, 12) AS g")
     return table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "abs(-l_quantity) AS a", "ceil(l_tax * 10) AS c", "floor(l_extendedprice) AS f", "round(sqrt(l_quantity), 6) AS s", "round(power(l_quantity, 2), 6) AS p", "round(ln(l_quantity), 6) AS ln1", "round(log10(l_quantity), 6) AS lg", "round(exp(l_discount), 6) AS ex", "int(sign(l_discount)) AS sg", "l_orderkey % 7 AS md", gcd, "round(sin(l_quantity), 6) AS sn", "l_orderkey div 3 AS dv")
 
 
@@ -120,6 +121,52 @@ def partition_transforms(spark, d):
     return table(spark, d, "orders").select("o_orderkey", hashing.years("o_orderdate").alias("y"), hashing.months("o_orderdate").alias("m"), hashing.days("o_orderdate").alias("dd"), hashing.truncate("o_orderkey", 10, numeric=True).cast("long").alias("t"), hashing.truncate("o_orderpriority", 2).alias("s"))
 
 
+def _rewritten(df: DataFrame, *exprs: str) -> DataFrame:
+    """Expressions of the dialect, as a script would have them."""
+    return df.selectExpr(*map(rewrite, exprs))
+
+
+@query("""SELECT l_orderkey, l_linenumber, gcd(l_orderkey, l_partkey)::BIGINT AS g, lcm(l_linenumber, 6)::BIGINT AS l, factorial(l_linenumber)::BIGINT AS f, trunc(l_extendedprice)::DOUBLE AS t, round(cbrt(l_quantity), 6) AS c, round(log2(l_quantity), 6) AS l2, round(atan2(l_tax, l_quantity), 8) AS a,
+    round(degrees(l_tax), 6) AS d, round(radians(l_quantity), 6) AS r, round(pi(), 6) AS p, CASE WHEN isnan(l_tax) THEN 1 ELSE 0 END AS nan FROM lineitem""")
+def scalar_number_theory(spark, d):
+    return _rewritten(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "gcd(l_orderkey, l_partkey) AS g", "lcm(l_linenumber, 6) AS l", "factorial(l_linenumber) AS f", "double(trunc(l_extendedprice)) AS t", "round(cbrt(l_quantity), 6) AS c", "round(log2(l_quantity), 6) AS l2", "round(atan2(l_tax, l_quantity), 8) AS a", "round(degrees(l_tax), 6) AS d", "round(radians(l_quantity), 6) AS r", "round(pi(), 6) AS p", "if(isnan(l_tax), 1, 0) AS nan")
+
+
+@query("""SELECT event_id, date_trunc('day', ts)::TIMESTAMP AS day, time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '1970-01-01') AS bin, strftime(ts, '%Y/%m/%d') AS txt, (to_timestamp(event_id) AT TIME ZONE 'UTC')::TIMESTAMP AS secs, (epoch_ms(event_id * 1000))::TIMESTAMP AS millis,
+    quarter(ts)::INTEGER AS q, extract(minute FROM ts)::INTEGER AS mi, extract(second FROM ts)::INTEGER AS se, last_day(ts) AS ld, make_date(year(ts)::INTEGER, month(ts)::INTEGER, 1) AS first FROM events""")
+def scalar_date_bins(spark, d):
+    ntz = lambda e: f"cast({e} as timestamp_ntz)"
+    return _rewritten(events(spark, d), "event_id", ntz("date_trunc('day', ts)") + " AS day", ntz("date_bin(interval '15 minutes', ts)") + " AS bin", "to_char(ts, 'yyyy/MM/dd') AS txt", ntz("to_timestamp_seconds(event_id)") + " AS secs", ntz("to_timestamp_millis(event_id * 1000)") + " AS millis", "quarter(ts) AS q", "minute(ts) AS mi", "second(ts) AS se", "last_day(ts) AS ld", "make_date(year(ts), month(ts), 1) AS first")
+
+
+@query("""SELECT p_partkey, regexp_matches(p_type, '^[A-M]') AS lk, len(regexp_extract_all(p_type, '[AEIOU]'))::INTEGER AS cnt, regexp_extract(p_name, '[a-z]+') AS first, coalesce(regexp_extract_all(p_brand, '[0-9]')[1], 'none') AS digit, p_name LIKE '%a%' AS has_a,
+    array_to_string(regexp_extract_all(p_type, '[A-Z]{2}'), '|') AS pairs FROM part""")
+def scalar_regex(spark, d):
+    return _rewritten(table(spark, d, "part"), "p_partkey", "regexp_like(p_type, '^[A-M]') AS lk", "regexp_count(p_type, '[AEIOU]') AS cnt", "regexp_substr(p_name, '[a-z]+') AS _f", "coalesce(regexp_match(p_brand, '[0-9]')[1], 'none') AS digit", "p_name LIKE '%a%' AS has_a", "array_to_string(coalesce(regexp_match(p_type, '[A-Z]{2}'), cast(make_array() as array<string>)), '|') AS pairs").withColumn("first", F.coalesce("_f", F.lit(""))).drop("_f")
+
+
+@query("""SELECT p_partkey, lower(hex(p_name)) AS hx, base64(p_name::BLOB) AS b64, decode(unhex(hex(p_name))) AS back, decode(from_base64(base64(p_brand::BLOB))) AS back64, sha256(p_name) AS s, md5(p_type) AS m, chr(65 + p_size) AS ch, rpad(p_brand, 12, '.') AS rp, length(p_name)::INTEGER AS n FROM part""")
+def encode_decode(spark, d):
+    return _rewritten(table(spark, d, "part"), "p_partkey", "encode(p_name, 'hex') AS hx", "encode(p_name, 'base64') AS b64", "string(decode(encode(p_name, 'hex'), 'hex')) AS back", "string(decode(encode(p_brand, 'base64'), 'base64')) AS back64", "sha256(p_name) AS s", "digest(p_type, 'md5') AS m", "chr(65 + p_size) AS ch", "rpad(p_brand, 12, '.') AS rp", "character_length(p_name) AS n")
+
+
+@query("""SELECT event_id, user_id AS u, event_type AS t, value * 2 AS twice, event_type || ':' || user_id AS both FROM events""")
+def scalar_struct(spark, d):
+    x = _rewritten(events(spark, d), "event_id", "named_struct('u', user_id, 'in', named_struct('t', event_type, 'v', value)) AS s")
+    return _rewritten(x, "event_id", "s.u AS u", "get_field(s.in, 't') AS t", "s.in.v * 2 AS twice", "concat(s.in.t, ':', s.u) AS both")
+
+
+@query("""SELECT event_id, map {'a': user_id, 'b': event_id}['a'] AS a, 2::INTEGER AS n, user_id AS got, NULL::BIGINT AS missing, 'a,b' AS keys FROM events""")
+def scalar_map(spark, d):
+    x = _rewritten(events(spark, d), "event_id", "map('a', user_id, 'b', event_id) AS m")
+    return _rewritten(x, "event_id", "m['a'] AS a", "cardinality(m) AS n", "try_element_at(m, 'a') AS got", "try_element_at(m, 'zz') AS missing", "array_to_string(sort_array(map_keys(m)), ',') AS keys")
+
+
+@query("""SELECT event_id, [user_id, 3, 5][1]::BIGINT AS first, CASE WHEN list_contains([user_id % 4, 3], 3) THEN 1 ELSE 0 END AS has3, len([1, 2, user_id])::INTEGER AS n, array_to_string(list_distinct([1, 1]), ',') AS uniq, array_to_string([1, 2, 3, 4][2:3], ',') AS part, list_sum([user_id, 1, 2])::BIGINT AS total FROM events""")
+def scalar_array_functions(spark, d):
+    return _rewritten(events(spark, d), "event_id", "make_array(user_id, 3, 5)[1] AS first", "if(array_has(array[user_id % 4, 3], 3), 1, 0) AS has3", "array_length(array[1, 2, user_id]) AS n", "array_to_string(array_distinct(array[1, 1]), ',') AS uniq", "array_to_string(array_slice(array[1, 2, 3, 4], 2, 3), ',') AS part", "aggregate(array[user_id, 1L, 2L], 0L, (a, x) -> a + x) AS total")
+
+
 # windows and aggregates
 
 
@@ -168,7 +215,7 @@ def session_count(spark, d):
 
 @query(_session_sql("", "5 minutes"))
 def session_global(spark, d):
-    return windows.window_agg(events(spark, d), windows.session("ts", "5 minutes"), [], F.count("*").alias("n")).select(*bounds(), "n")
+    return windows.global_sessions(events(spark, d), "ts", "5 minutes", {"n": ("count", "event_id")}).select(*bounds(), "n")
 
 
 @query(f"WITH u AS (SELECT {HOUR} AS start, user_id, count(*) AS n FROM events GROUP BY ALL) SELECT start, max(n)::BIGINT AS most, count(*)::BIGINT AS users FROM u GROUP BY start")
@@ -278,8 +325,10 @@ def join_window_nonequi(spark, d):
 
 @query("SELECT o_orderpriority, count(*)::BIGINT AS n, round(sum(l_quantity), 2) AS q FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderpriority")
 def join_unwindowed_inner(spark, d):
-    o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
-    return joins.updating_join(o, l, o.o_orderkey == l.l_orderkey).groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("q"))
+    # line items are summed by order first: the join and the shuffle after it see one row an order
+    l = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("_n"), F.sum("l_quantity").alias("_q"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    return joins.updating_join(o, l, o.o_orderkey == l.l_orderkey).groupBy("o_orderpriority").agg(F.sum("_n").alias("n"), F.round(F.sum("_q"), 2).alias("q"))
 
 
 @query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -448,6 +497,60 @@ def script_json(spark, d):
     return Engine(spark, {"stream": events(spark, d)}).run(script)[0]
 
 
+@query(f"SELECT o_custkey, count(*)::BIGINT AS c, count(DISTINCT o_orderkey)::BIGINT AS d, round(sum({PRICE} + 5) + 10, 2) AS q, max({PRICE}) AS dearest FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY o_custkey")
+def script_debezium_agg(spark, d):
+    script = """
+    CREATE TABLE changes (o_orderkey BIGINT PRIMARY KEY, o_custkey BIGINT, o_totalprice DOUBLE) WITH (connector = 'single_file', path = 'given', format = 'debezium_json', type = 'source');
+    SELECT o_custkey, count(*) AS c, count(distinct o_orderkey) AS d, round(sum(o_totalprice + 5) + 10, 2) AS q, max(o_totalprice) AS dearest FROM changes GROUP BY o_custkey;"""
+    return Engine(spark, {"changes": order_changes(spark, d).drop("seq")}).run(script)[0]
+
+
+@query("SELECT count(*)::BIGINT AS users, sum(n)::BIGINT AS total FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 12)")
+def script_updating_over_updating(spark, d):
+    script = """
+    CREATE TABLE stream (ts TIMESTAMP NOT NULL, user_id BIGINT, WATERMARK FOR ts) WITH (connector = 'single_file', path = 'given', format = 'json', type = 'source');
+    SELECT count(*) AS users, sum(n) AS total FROM (SELECT user_id, count(*) AS n FROM stream GROUP BY user_id HAVING count(*) > 12);"""
+    return Engine(spark, {"stream": events(spark, d)}).run(script)[0]
+
+
+@query("SELECT o_orderpriority, count(*)::BIGINT AS n FROM (SELECT o_orderkey, o_orderpriority FROM orders) JOIN (SELECT l_orderkey FROM lineitem) ON o_orderkey = l_orderkey GROUP BY o_orderpriority")
+def script_updating_inner_join(spark, d):
+    script = """
+    CREATE TABLE o (o_orderkey BIGINT, o_orderpriority TEXT) WITH (connector = 'single_file', path = 'given', format = 'json', type = 'source');
+    CREATE TABLE l (l_orderkey BIGINT) WITH (connector = 'single_file', path = 'given', format = 'json', type = 'source');
+    SELECT o_orderpriority, count(*) AS n FROM o JOIN l ON o_orderkey = l_orderkey GROUP BY o_orderpriority;"""
+    return Engine(spark, {"o": table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "l": table(spark, d, "lineitem").select("l_orderkey")}).run(script)[0]
+
+
+@query("SELECT event_id, c_mktsegment FROM events LEFT JOIN customer ON user_id = c_custkey")
+def script_lookup(spark, d):
+    script = """
+    CREATE TABLE e (event_id BIGINT, user_id BIGINT) WITH (connector = 'single_file', path = 'given', format = 'json', type = 'source');
+    CREATE TEMPORARY TABLE c (c_custkey BIGINT PRIMARY KEY, c_mktsegment TEXT) WITH (connector = 'single_file', path = 'given', format = 'json', type = 'source');
+    SELECT event_id, c_mktsegment FROM e LEFT JOIN c ON e.user_id = c.c_custkey;"""
+    return Engine(spark, {"e": events(spark, d).select("event_id", "user_id"), "c": table(spark, d, "customer").select("c_custkey", "c_mktsegment")}).run(script)[0]
+
+
+@query(f"""WITH a AS (SELECT {HOUR} AS start, user_id, count(*)::BIGINT AS n FROM events GROUP BY ALL), m AS (SELECT start, max(n)::BIGINT AS most FROM a GROUP BY start)
+SELECT a.start, a.user_id, a.n FROM a JOIN m ON a.start = m.start AND a.n >= m.most""")
+def script_window_join(spark, d):
+    script = """
+    CREATE TABLE stream (ts TIMESTAMP NOT NULL, user_id BIGINT, WATERMARK FOR ts) WITH (connector = 'single_file', path = 'given', format = 'json', type = 'source');
+    CREATE VIEW counts AS SELECT tumble(interval '1 hour') AS window, user_id, count(*) AS n FROM stream GROUP BY window, user_id;
+    SELECT counts.window.start AS start, user_id, n FROM counts JOIN (SELECT window, max(n) AS most FROM counts GROUP BY window) AS m ON counts.window = m.window AND n >= most;"""
+    return Engine(spark, {"stream": events(spark, d)}).run(script)[0]
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, 'a == b' AS lit, CASE WHEN json_exists(props, '$.k') THEN 1 ELSE 0 END AS has_k, user_id AS inner_id FROM events")
+def script_json_operators(spark, d):
+    script = """
+    CREATE TABLE stream (event_id BIGINT, ts TIMESTAMP, props JSON, nested JSON) WITH (connector = 'single_file', path = 'given', format = 'json', type = 'source');
+    SELECT event_id, props->>'k' AS k, 'a == b' AS lit, CASE WHEN props ? 'k' THEN 1 ELSE 0 END AS has_k, json_get_int(nested->'a'->'b', 'c') AS inner_id FROM stream;"""
+    e = events(spark, d)
+    nested = F.to_json(F.struct(F.struct(F.struct(F.col("user_id").alias("c")).alias("b")).alias("a")))
+    return Engine(spark, {"stream": e.withColumn("nested", nested)}).run(script)[0]
+
+
 # batch-only extensions
 
 

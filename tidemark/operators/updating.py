@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .windows import micros
+
 
 def sign() -> Column:
     """+1 for an appended row, -1 for a retracted one."""
@@ -34,6 +36,6 @@ def changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return j.withColumn("op", F.when(F.col("before").isNull(), "c").when(F.col("after").isNull(), "d").otherwise("u"))
 
 
-def expired(df: DataFrame, ts: str, ttl: str, now: Column) -> DataFrame:
-    """Keys whose last update lies further back than the TTL, to be retracted."""
-    return df.where(F.col(ts) < now - F.expr(f"INTERVAL {ttl}"))
+def is_expired(ts: str, ttl: str, now: Column) -> Column:
+    """Whether a key's last update lies further back than the TTL."""
+    return F.col(ts) < now - F.expr(f"INTERVAL {micros(ttl)} MICROSECONDS")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNITS = {"microsecond": 1, "millisecond": 1000, "second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 86400 * 10**6, "week": 7 * 86400 * 10**6}
@@ -74,3 +74,22 @@ def hop_two_step(df: DataFrame, ts: str, slide: str, width: str, keys: list[str]
 def rewindow(df: DataFrame, width: str, window: str = "window") -> Column:
     """Window over an already windowed input: its rows count at the window's last instant."""
     return F.window(F.window_time(window), width)
+
+
+def global_sessions(df: DataFrame, ts: str, gap: str, aggs: dict[str, tuple[str, str]], span: str = "1 day") -> DataFrame:
+    """Sessions over all events, without a key, that no single task has to sort.
+
+    Sessions are found within time spans first. Only the first and the last of a span can go on in another one: these, two a span, are put together
+    in one partition. aggs: output name -> (count | sum | min | max, column)."""
+    at = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / micros(span))
+    local = df.groupBy(at.alias("_b"), F.session_window(ts, gap).alias("_w")).agg(*[getattr(F, kind)(c).alias(name) for name, (kind, c) in aggs.items()])
+    local = local.select("_b", F.col("_w.start").alias("_s"), F.col("_w.end").alias("_e"), *aggs)
+    edge = local.groupBy("_b").agg(F.min("_s").alias("_first"), F.max("_s").alias("_last"))
+    marked = local.join(edge, "_b").withColumn("_inner", (F.col("_s") != F.col("_first")) & (F.col("_s") != F.col("_last")))
+    inner = marked.where("_inner").select("_s", "_e", *aggs)
+    outer = marked.where("not _inner").select("_s", "_e", *aggs)
+    before = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    joined = outer.withColumn("_new", F.coalesce(F.col("_s") > F.max("_e").over(before), F.lit(True)).cast("int"))
+    joined = joined.withColumn("_g", F.sum("_new").over(Window.orderBy("_s")))
+    stitched = joined.groupBy("_g").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"), *[MERGE[kind](name).alias(name) for name, (kind, _) in aggs.items()])
+    return inner.unionByName(stitched.drop("_g")).select(F.struct(F.col("_s").alias("start"), F.col("_e").alias("end")).alias("window"), *aggs)

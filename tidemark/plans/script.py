@@ -1,4 +1,8 @@
-"""SQL scripts: CREATE TABLE / VIEW, INSERT, SET and SELECT over connector tables, on bounded data."""
+"""SQL scripts: CREATE TABLE / VIEW, INSERT, SET and SELECT over connector tables, on bounded data and on streams.
+
+On bounded data a changelog table stands for the rows that it leaves, so that every aggregate, also one over another aggregate, counts what has
+been retracted out. On streams (live=True) tables of files are read as streams with their watermark; start() runs every INSERT to the
+end of what there is: windowed and plain results in append mode, updating ones as a changelog by the sink's primary key."""
 
 from __future__ import annotations
 
@@ -9,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import debezium
+from ..operators import debezium, updating
 from ..sources import connectors
+from ..streaming import runner
 from ..types import spark_type, split_top
+from ..operators.windows import micros
 from .rewrite import TIME, rewrite
-from .validate import PlanError, check_select, check_sink, check_watermark
+from .validate import LOOKUP, PLAIN, UPDATING, PlanError, check_plan, check_select, check_sink, check_watermark
 
 
 @dataclass
@@ -80,6 +86,8 @@ def parse_table(sql: str) -> Table:
     if t.options.get("format") == "debezium_json":
         if t.generated:
             raise PlanError("updating tables can't have virtual fields")
+        if "event_time_field" in t.options:
+            raise PlanError("updating tables can't have an event_time_field")
         if not t.keys and t.options.get("type", "source") == "source":
             raise PlanError("debezium tables need a PRIMARY KEY")
     if t.options.get("connector", "memory") == "memory" and (t.generated or set(t.options) - {"connector"}):
@@ -91,24 +99,53 @@ def parse_table(sql: str) -> Table:
 class Engine:
     """Runs scripts; tables live in this object, views in the session. inputs: DataFrames in place of connectors."""
 
-    def __init__(self, spark: SparkSession, inputs: dict[str, DataFrame] | None = None, streaming: bool = True):
-        self.spark, self.inputs, self.streaming = spark, {k.lower(): v for k, v in (inputs or {}).items()}, streaming
+    def __init__(self, spark: SparkSession, inputs: dict[str, DataFrame] | None = None, streaming: bool = True, live: bool = False):
+        """streaming: keep the dialect's rules (False allows the batch extensions). live: read connectors as streams."""
+        self.spark, self.inputs, self.streaming, self.live = spark, {k.lower(): v for k, v in (inputs or {}).items()}, streaming, live
+        #: tables and views whose rows aren't plain
+        self.kinds: dict[str, str] = {}
+        self.sink_kinds: dict[str, str] = {}
         self.tables: dict[str, Table] = {}
         self.settings: dict[str, str] = {"updating_ttl": "1 day"}
         self.sinks: dict[str, DataFrame] = {}
 
     def _scan(self, t: Table) -> DataFrame:
-        df = self.inputs[t.name] if t.name in self.inputs else connectors.read(self.spark, t.options, t.schema)
+        df = self.inputs[t.name] if t.name in self.inputs else connectors.read(self.spark, t.options, t.schema, stream=self.live)
         if t.options.get("format") == "debezium_json":
-            df = debezium.unroll(df, t.keys).drop("_pos")
+            if df.isStreaming:
+                raise PlanError("changelog tables are read as bounded data")
+            names = [f.name for f in t.schema.fields]
+            df = updating.live_rows(debezium.unroll(df, t.keys), names)
+            self.kinds[t.name] = UPDATING
+        elif t.temporary:
+            self.kinds[t.name] = LOOKUP
         for name, expr in t.generated.items():
             df = df.withColumn(name, F.expr(rewrite(expr)).cast(next(f.dataType for f in t.fields if f.name == name)))
         at = t.options.get("event_time_field") or (t.watermark[0] if t.watermark else None) or next((f.name for f in t.fields if isinstance(f.dataType, T.TimestampType)), None)
-        return df.withColumn(TIME, F.col(at)) if at and TIME not in df.columns else df
-
-    def query(self, sql: str) -> DataFrame:
+        if not at or TIME in df.columns:
+            return df
+        df = df.withColumn(TIME, F.col(at))
+        return runner.with_event_time(df, TIME, self._delay(t)) if df.isStreaming else df
+
+    @staticmethod
+    def _delay(t: Table) -> str:
+        """How far the watermark stays behind event time: what its expression takes off the column, by default one second."""
+        if not t.watermark or not t.watermark[1]:
+            return "1 second"
+        m = re.fullmatch(rf"(?is)\(?\s*{t.watermark[0]}\s*(?:-\s*interval\s*'?([^']+?)'?\s*(\w+)?)?\s*\)?", t.watermark[1])
+        if not m:
+            raise PlanError(f"the watermark must be {t.watermark[0]} less an interval")
+        delay = f"{m[1]} {m[2] or ''}".strip() if m[1] else "0 seconds"
+        micros(delay)
+        return delay
+
+    def _planned(self, sql: str) -> tuple[DataFrame, str]:
         check_select(sql, self.streaming)
         df = self.spark.sql(rewrite(sql))
+        return df, check_plan(df, self.kinds) if self.streaming else PLAIN
+
+    def query(self, sql: str) -> DataFrame:
+        df, _ = self._planned(sql)
         return df.drop(TIME) if TIME in df.columns and df.columns.count(TIME) == 1 else df
 
     def run(self, script: str) -> list[DataFrame]:
@@ -122,15 +159,19 @@ class Engine:
                     raise PlanError(f"unknown variable {m[1]}")
                 self.settings["updating_ttl"] = f"{m[2]} {m[3] or ''}".strip()
             elif m := re.match(r"(?is)create\s+(?:or\s+replace\s+)?(?:view|table)\s+(\w+)\s+as\s+(.*)$", s):
-                check_select(m[2], self.streaming)
-                self.spark.sql(rewrite(m[2])).createOrReplaceTempView(m[1])
+                df, kind = self._planned(m[2])
+                df.createOrReplaceTempView(m[1])
+                self.kinds.pop(m[1].lower(), None)
+                if kind != PLAIN:
+                    self.kinds[m[1].lower()] = kind
             elif re.match(r"(?i)create\b", s):
                 t = parse_table(s)
                 self.tables[t.name] = t
                 if t.options.get("connector", "memory") != "memory" and t.options.get("type") != "sink" and connectors.SOURCES.get(t.options["connector"]):
                     self._scan(t).createOrReplaceTempView(t.name)
             elif m := re.match(r"(?is)insert\s+into\s+(\w+)\s*(?:\(([^)]*)\))?\s*(.*)$", s):
-                self._insert(m[1].lower(), self.query(m[3]))
+                df, kind = self._planned(m[3])
+                self._insert(m[1].lower(), df.drop(TIME) if df.columns.count(TIME) == 1 else df, kind)
             elif re.match(r"(?i)(select|with|values)\b", s):
                 out.append(self.query(s))
             else:
@@ -140,19 +181,38 @@ class Engine:
             raise PlanError("the script contains no query")
         return out
 
-    def _insert(self, name: str, df: DataFrame) -> None:
+    def _insert(self, name: str, df: DataFrame, kind: str) -> None:
         if name not in self.tables:
             raise PlanError(f"unknown table {name}")
         t = self.tables[name]
-        check_sink("_updating_meta" in df.columns, t.options.get("format", "json") if t.options else "debezium_json")
+        check_sink(kind == UPDATING or "_updating_meta" in df.columns, t.options.get("format", "json") if t.options.get("connector", "memory") != "memory" else "debezium_json")
         if len(df.columns) != len(t.schema.fields) and t.schema.fields:
             raise PlanError(f"{name} has {len(t.schema.fields)} columns, the query has {len(df.columns)}")
         df = df.select(*[F.col(f"`{c}`").cast(f.dataType).alias(f.name) for c, f in zip(df.columns, t.schema.fields)]) if t.schema.fields else df
-        if t.options.get("format") == "debezium_json" and "op" not in df.columns:
+        if t.options.get("format") == "debezium_json" and "op" not in df.columns and not df.isStreaming:
             df = debezium.to_debezium(df)
         self.sinks[name] = self.sinks[name].union(df) if name in self.sinks else df
+        self.sink_kinds[name] = kind
         if not t.options or t.options.get("connector") == "memory":
             self.sinks[name].createOrReplaceTempView(name)
+            if kind != PLAIN:
+                self.kinds[name] = kind
+
+    def start(self, checkpoint: str) -> None:
+        """Runs every streaming INSERT over all there is, with its progress and state under checkpoint; a second call goes on from there."""
+        for name, df in self.sinks.items():
+            t = self.tables[name]
+            if t.options.get("connector") not in ("filesystem", "single_file"):
+                raise PlanError("streaming results go to file sinks")
+            at = f"{checkpoint}/{name}"
+            if self.sink_kinds[name] == UPDATING:
+                if not t.keys:
+                    raise PlanError(f"{name} needs a PRIMARY KEY to keep an updating result")
+                sink = runner.updating_to_changelog(f"{at}/rows", t.options["path"], t.keys, fmt="json")
+                runner.run_to_end(df, f"{at}/progress", sink, "update")
+            else:
+                out = debezium.to_debezium if t.options.get("format") == "debezium_json" else None
+                runner.run_to_end(df, f"{at}/progress", runner.to_table(t.options["path"], out, "parquet" if t.options.get("format") == "parquet" else "json"))
 
     def flush(self) -> None:
         """Writes every sink once; inserts into one sink have been merged."""

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..plans.validate import PlanError
 from . import formats, generators
 
-COMMON = {"connector", "format", "type", "event_time_field", "watermark_field", "bad_data", "framing", "framing.method", "idle_micros", "json.unstructured", "json.debezium", "json.include_schema", "json.timestamp_format", "json.decimal_encoding", "lookup.cache.max_bytes", "lookup.cache.ttl"}
+COMMON = {"connector", "format", "type", "event_time_field", "watermark_field", "bad_data", "framing", "framing.method", "framing.max_length", "idle_micros", "json.unstructured", "json.debezium", "json.include_schema", "json.timestamp_format", "json.decimal_encoding", "lookup.cache.max_bytes", "lookup.cache.ttl"}
 #: Connector -> the options of its own. A trailing dot allows a family of options.
 OPTIONS: dict[str, set[str]] = {
     "kafka": {"bootstrap_servers", "topic", "source.", "sink.", "auth.", "schema_registry.", "client_configs"},
@@ -32,6 +32,14 @@ OPTIONS: dict[str, set[str]] = {
     "webhook": {"endpoint", "headers"},
     "stdout": set(), "blackhole": set(), "preview": set(), "memory": set(),
 }
+#: Options of the dialect that nothing here could honour; giving one is an error, not a silent difference.
+REFUSED: dict[str, str] = {
+    "idle_micros": "Spark has no idle inputs: a watermark waits for the slowest one",
+    "json.include_schema": "results carry no schema envelope",
+    "rollover_seconds": "files end with the batch that writes them", "target_file_size": "file sizes follow the partitions", "rolling_policy.": "files end with the batch that writes them",
+    "file_naming.": "Spark names the files", "filename.": "Spark names the files", "wait_for_control": "there is no control channel",
+}
+TIMESTAMP_FORMATS, DECIMAL_ENCODINGS = {"rfc3339", "unix_millis"}, {"number", "string"}
 #: Which connectors are sources and sinks; redis is a lookup source.
 SOURCES = dict.fromkeys(["kafka", "confluent", "kinesis", "fluvio", "nats", "mqtt", "rabbitmq", "filesystem", "single_file", "impulse", "nexmark", "sse", "websocket", "polling_http"], True)
 SINKS = dict.fromkeys(["kafka", "confluent", "kinesis", "fluvio", "nats", "mqtt", "redis", "filesystem", "delta", "iceberg", "single_file", "webhook", "stdout", "blackhole", "preview"], True)
@@ -48,6 +56,13 @@ def check(options: dict[str, str]) -> None:
     for k in options:
         if k not in COMMON and k not in own and not any(o.endswith(".") and k.startswith(o) for o in own):
             raise PlanError(f"unknown option '{k}' for connector '{name}'")
+        for refused, why in REFUSED.items():
+            if k == refused or (refused.endswith(".") and k.startswith(refused)):
+                raise PlanError(f"option '{k}' is not supported: {why}")
+    if options.get("json.timestamp_format", "rfc3339").lower() not in TIMESTAMP_FORMATS:
+        raise PlanError("json.timestamp_format must be rfc3339 or unix_millis")
+    if options.get("json.decimal_encoding", "number").lower() not in DECIMAL_ENCODINGS:
+        raise PlanError("json.decimal_encoding must be number or string")
 
 
 def external_options(options: dict[str, str]) -> dict[str, str]:
@@ -94,7 +109,7 @@ def write(df: DataFrame, options: dict[str, str], partitions: list[str] | None =
         if options.get("format") == "parquet":
             w.option("compression", options.get("parquet.compression", "zstd")).parquet(options["path"])
         else:
-            w.json(options["path"])
+            formats.plain(df, options).write.mode("append").partitionBy(*cols).options(**formats.JSON_OUT).json(options["path"])
     elif name == "stdout":
         df.select(formats.encode(df, options).alias("value")).write.format("console").save()
     elif name == "blackhole":

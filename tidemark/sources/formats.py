@@ -11,12 +11,65 @@ def debezium_schema(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField("before", schema), T.StructField("after", schema), T.StructField("op", T.StringType())])
 
 
+def _millis(t: T.DataType) -> T.DataType:
+    """A type with every timestamp as the long that stands for it."""
+    if isinstance(t, T.TimestampType):
+        return T.LongType()
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(_millis(t.elementType), t.containsNull)
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, _millis(f.dataType), f.nullable) for f in t.fields])
+    return t
+
+
+def _from_millis(c: Column, t: T.DataType) -> Column:
+    if isinstance(t, T.TimestampType):
+        return F.timestamp_millis(c)
+    if isinstance(t, T.ArrayType):
+        return F.transform(c, lambda x: _from_millis(x, t.elementType))
+    if isinstance(t, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_from_millis(c[f.name], f.dataType).alias(f.name) for f in t.fields]))
+    return c
+
+
+def _encoded(c: Column, t: T.DataType, millis: bool, text: bool) -> Column:
+    if millis and isinstance(t, T.TimestampType):
+        return F.unix_millis(c)
+    if text and isinstance(t, T.DecimalType):
+        return c.cast("string")
+    if isinstance(t, T.ArrayType):
+        return F.transform(c, lambda x: _encoded(x, t.elementType, millis, text))
+    if isinstance(t, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_encoded(c[f.name], f.dataType, millis, text).alias(f.name) for f in t.fields]))
+    return c
+
+
+def _by_millis(options: dict[str, str]) -> bool:
+    return options.get("json.timestamp_format", "rfc3339").lower() == "unix_millis"
+
+
+def plain(df: DataFrame, options: dict[str, str]) -> DataFrame:
+    """df with timestamps and decimals in the form that json.timestamp_format and json.decimal_encoding name."""
+    millis, text = _by_millis(options), options.get("json.decimal_encoding", "number").lower() == "string"
+    if not (millis or text):
+        return df
+    return df.select(*[_encoded(F.col(f"`{f.name}`"), f.dataType, millis, text).alias(f.name) for f in df.schema.fields])
+
+
+#: How JSON is written: every field, timestamps to the microsecond.
+JSON_OUT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "ignoreNullFields": "false"}
+
+
 def decode(df: DataFrame, schema: T.StructType, options: dict[str, str]) -> DataFrame:
     """value (text or bytes) -> columns. bad_data=drop leaves out what does not parse, else it fails."""
     kind = options.get("format", "json")
     text = F.col("value").cast("string")
     if options.get("framing", options.get("framing.method")) == "newline":
-        df, text = df.select(F.explode(F.split(text, "\n")).alias("value")).where("value <> ''"), F.col("value")
+        longest = int(options.get("framing.max_length", 0))
+        lines = df.select(F.explode(F.split(text, "\n")).alias("value")).where("value <> ''")
+        if longest:  # a longer frame is an error, not a part of one
+            lines = lines.select(F.when(F.octet_length("value") <= longest, F.col("value")).otherwise(F.raise_error(F.lit(f"a frame is longer than {longest} bytes")).cast("string")).alias("value"))
+        df, text = lines, F.col("value")
     if kind in ("raw_string", "raw_bytes"):
         return df.select(text.alias("value") if kind == "raw_string" else F.col("value").cast("binary").alias("value"))
     if kind not in ("json", "debezium_json"):
@@ -24,6 +77,9 @@ def decode(df: DataFrame, schema: T.StructType, options: dict[str, str]) -> Data
     if options.get("json.unstructured") == "true":
         return df.select(text.alias("value"))
     full = debezium_schema(schema) if kind == "debezium_json" else schema
+    if _by_millis(options):
+        rows = decode(df.select(text.alias("value")), _millis(schema), {k: v for k, v in options.items() if k != "json.timestamp_format" and not k.startswith("framing")})
+        return rows.select(*[_from_millis(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in full.fields])
     if options.get("bad_data") == "drop":
         marked = T.StructType([*full.fields, T.StructField("_corrupt", T.StringType())])
         return df.select(F.from_json(text, marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("v")).where("v._corrupt is null").select("v.*").drop("_corrupt")
@@ -32,7 +88,7 @@ def decode(df: DataFrame, schema: T.StructType, options: dict[str, str]) -> Data
 
 def encode(df: DataFrame, options: dict[str, str]) -> Column:
     """Rows as one text column for message sinks."""
-    opts = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "ignoreNullFields": "false"}
     if options.get("format") == "raw_string":
         return F.col("value").cast("string")
-    return F.to_json(F.struct(*df.columns), opts)
+    millis, text = _by_millis(options), options.get("json.decimal_encoding", "number").lower() == "string"
+    return F.to_json(F.struct(*[_encoded(F.col(f"`{f.name}`"), f.dataType, millis, text).alias(f.name) for f in df.schema.fields]), JSON_OUT)

@@ -34,34 +34,50 @@ def run_to_end(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int],
     q.awaitTermination()
 
 
-def to_table(path: str, then: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+def to_table(path: str, then: Callable[[DataFrame], DataFrame] | None = None, fmt: str = "parquet") -> Callable[[DataFrame, int], None]:
     """A sink that writes each batch to a folder of its number, so that a repeated batch replaces itself.
     then: work on a closed window's rows, such as top-k: in append mode they arrive in one batch."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        (then(batch) if then else batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        (then(batch) if then else batch).write.mode("overwrite").format(fmt).save(f"{path}/batch={number}")
 
     return sink
 
 
-def updating_to_changelog(state: str, out: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A sink for update mode that turns new values into c and u events against the rows last written.
+def updating_to_changelog(state: str, out: str, keys: list[str], ttl: str | None = None, at: str | None = None, gone: Column | None = None, fmt: str = "parquet") -> Callable[[DataFrame, int], None]:
+    """A sink for update mode that turns new values into c, u and d events against the rows last written.
 
-    state/n holds the aggregate after batch n: a repeated batch starts from n - 1 again and gives the same events."""
+    state/n holds the aggregate after batch n: a repeated batch starts from n - 1 again and gives the same events; older states are deleted.
+    Keys may be null. gone: a key whose new value meets this is retracted, such as a count of 0. ttl, at: keys whose event time (column at) lies
+    further back than ttl from the latest one are retracted and forgotten."""
 
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
-        old = spark.read.parquet(f"{state}/{number - 1}") if number else batch.limit(0)
-        new = old.join(batch, keys, "left_anti").unionByName(batch)
-        touched = old.join(batch.select(*keys), keys, "left_semi")
-        updating.changes(touched, batch, keys).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        old = spark.read.schema(batch.schema).parquet(f"{state}/{number - 1}") if number else batch.limit(0)
+        same = _same(keys)
+        kept = old.alias("o").join(batch.select(*keys).alias("n"), same, "left_anti").unionByName(batch)
+        new = kept.where(~F.coalesce(gone, F.lit(False))) if gone is not None else kept
+        if ttl and at:
+            latest = new.agg(F.max(at)).first()[0]
+            if latest is not None:
+                new = new.where(F.col(at).isNull() | ~updating.is_expired(at, ttl, F.lit(latest)))
         new.write.mode("overwrite").parquet(f"{state}/{number}")
+        new = spark.read.schema(batch.schema).parquet(f"{state}/{number}")
+        updating.changes(old, new, keys).write.mode("overwrite").format(fmt).save(f"{out}/batch={number}")
         batch.unpersist()
+        _delete(spark, f"{state}/{number - 2}")
 
     return sink
 
 
-def distinct_count(col: str) -> Column:
-    """COUNT(DISTINCT) that streams: Spark allows no distinct aggregate there."""
-    return F.size(F.collect_set(col))
+def _same(keys: list[str]) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}"))
+    return on
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
