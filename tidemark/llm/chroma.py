@@ -120,20 +120,33 @@ def rendered(vectors: DataFrame, key: str, column: str) -> DataFrame:
     return vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).mapInPandas(run, "id long, pcm binary")
 
 
-def compared(query: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def paired(x: np.ndarray) -> np.ndarray:
+    """Each integer with the one after it in one of 64 bits."""
+    return x[:-1].astype(np.uint64) | (x[1:].astype(np.uint64) << np.uint64(32))
+
+
+def compared(query: np.ndarray, rows: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The least share of differing bits over the offsets that have a seed, and its offset (of equal ones that with the most seeds, then the nearest), for each of rows.
 
-    rows: recordings of one length as columns; a share of 2 where no offset has MIN_OVERLAP and a seed."""
+    rows: recordings of one length as columns, pairs: paired(rows); a share of 2 where no offset of MIN_OVERLAP or more has a share that can
+    be accepted. Differing bits are counted by pairs of integers; seeds only where these are few enough."""
     n, m = len(query), len(rows)
     error, best, most = np.full(rows.shape[1], 2.0), np.zeros(rows.shape[1], np.int64), np.zeros(rows.shape[1], np.int64)
+    asked = paired(query)
     for offset in sorted(range(MIN_OVERLAP - n, m - MIN_OVERLAP + 1), key=lambda o: (abs(o), -o)):
-        q, r = query[max(0, -offset) :], rows[max(0, offset) :]
-        overlap = min(len(q), len(r))
-        if overlap >= MIN_OVERLAP:
-            bits = np.bitwise_count(r[:overlap] ^ q[:overlap, None])
+        q, r = max(0, -offset), max(0, offset)
+        overlap = min(n - q, m - r)
+        if overlap < MIN_OVERLAP:
+            continue
+        limit, begun = (MAX_ERROR + 1e-6) * 32 * overlap, overlap // 2 * 2
+        left = np.bitwise_count(pairs[r : r + begun : 2] ^ asked[q : q + begun : 2, None]).sum(0, dtype=np.uint16)
+        i = np.flatnonzero(left <= limit)
+        if len(i):
+            bits = np.bitwise_count(rows[r : r + overlap, i] ^ query[q : q + overlap, None])
             seeds, e = (bits <= int(32 * MAX_ERROR)).sum(0), bits.sum(0, dtype=np.uint32) / (32 * overlap)
-            better = (seeds > 0) & ((e < error) | ((e == error) & (seeds > most)))
-            error[better], best[better], most[better] = e[better], offset, seeds[better]
+            better = (seeds > 0) & ((e < error[i]) | ((e == error[i]) & (seeds > most[i])))
+            k = i[better]
+            error[k], best[k], most[k] = e[better], offset, seeds[better]
     return error, best
 
 
@@ -166,8 +179,9 @@ def alignments(classes: DataFrame, queries: DataFrame) -> DataFrame:
                 for n in np.unique(length):
                     at = np.flatnonzero(length == n)
                     rows = np.ascontiguousarray(np.array([prints[i] for i in at]).T)
+                    pairs = paired(rows)
                     for ask, query in zip(asks, wanted):
-                        error, offset = compared(query, rows)
+                        error, offset = compared(query, rows, pairs)
                         ok = np.flatnonzero((np.round(error, 6) <= MAX_ERROR) & (ids[at] != ask))
                         if len(ok):
                             yield pd.DataFrame({"query": ask, "other": ids[at[ok]], "offset": offset[ok].astype(np.int32), "bit_error": np.round(error[ok], 6)})
