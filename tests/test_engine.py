@@ -251,3 +251,6 @@ def test_global_sessions_across_spans(spark):
     got = windows.global_sessions(d, "t", "5 minutes", {"n": ("count", "t")}).select("window.start", "window.end", "n")
     want = windows.window_agg(d, windows.session("t", "5 minutes"), [], F.count("*").alias("n")).select("window.start", "window.end", "n")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 5
+    e = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    got, want = windows.global_sessions(e, "ts", "5 minutes", {"n": ("count", "ts")}), windows.window_agg(e, windows.session("ts", "5 minutes"), [], F.count("*").alias("n"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

@@ -84,7 +84,9 @@ def global_sessions(df: DataFrame, ts: str, gap: str, aggs: dict[str, tuple[str,
     at = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / micros(span))
     local = df.groupBy(at.alias("_b"), F.session_window(ts, gap).alias("_w")).agg(*[getattr(F, kind)(c).alias(name) for name, (kind, c) in aggs.items()])
     local = local.select("_b", F.col("_w.start").alias("_s"), F.col("_w.end").alias("_e"), *aggs)
-    edge = local.groupBy("_b").agg(F.min("_s").alias("_first"), F.max("_s").alias("_last"))
+    # the aggregates go along in the comparison: without any, Spark does not merge the sessions of a group at all
+    whole = F.struct("_s", *aggs)
+    edge = local.groupBy("_b").agg(F.min(whole).alias("_f"), F.max(whole).alias("_l")).select("_b", F.col("_f._s").alias("_first"), F.col("_l._s").alias("_last"))
     marked = local.join(edge, "_b").withColumn("_inner", (F.col("_s") != F.col("_first")) & (F.col("_s") != F.col("_last")))
     inner = marked.where("_inner").select("_s", "_e", *aggs)
     outer = marked.where("not _inner").select("_s", "_e", *aggs)
