@@ -4,12 +4,12 @@ from pyspark.sql import types as T
 
 from tidemark.functions import json as js
 from tidemark.operators import debezium, updating, windows
-from tidemark.plans.rewrite import rewrite
+from tidemark.plans.rewrite import carry_time, rewrite
 from tidemark.plans.script import Engine, parse_table, statements
 from tidemark.plans.validate import PlanError, check_select
 from tidemark.sources import connectors, generators
 from tidemark.streaming import runner
-from tidemark.types import spark_type
+from tidemark.types import spark_type, split_top
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,6 +70,18 @@ def test_script_errors(spark):
             Engine(spark).run(script)
 
 
+def test_comparisons_are_not_brackets():
+    assert split_top("a > b, f(c < d, e), ARRAY<STRUCT<x INT, y INT>> z") == ["a > b", "f(c < d, e)", "ARRAY<STRUCT<x INT, y INT>> z"]
+    assert split_top("SELECT a WHERE b > 1; SELECT 'x;y'", ";") == ["SELECT a WHERE b > 1", "SELECT 'x;y'"]
+
+
+def test_event_time_is_carried():
+    assert carry_time("SELECT a FROM (SELECT b AS a FROM t WHERE c = 'from') x") == "SELECT a, _timestamp FROM (SELECT b AS a, _timestamp FROM t WHERE c = 'from') x"
+    assert carry_time("SELECT l.a FROM t AS l LEFT JOIN (SELECT * FROM u) r ON l.a = r.a").startswith("SELECT l.a, greatest(l._timestamp, r._timestamp) AS _timestamp FROM")
+    for same in ("SELECT DISTINCT a FROM t", "SELECT a, count(*) FROM t GROUP BY a", "SELECT t.* FROM t"):
+        assert carry_time(same) == same
+
+
 def test_impulse_script_into_files(spark, tmp_path):
     e = Engine(spark)
     e.run(f"""CREATE TABLE i (timestamp TIMESTAMP, counter BIGINT) WITH (connector = 'impulse', message_count = '100', interval = '200', type = 'source');

@@ -13,7 +13,7 @@ from .functions import json as js
 from .operators import debezium, joins, topn, updating, windows
 from .plans.rewrite import rewrite
 from .plans.script import Engine
-from .session import table
+from .session import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,6 +106,18 @@ def json_extract_string(spark, d):
     return x.select("event_id", js.extract_json_string("props", "$.k").alias("k"), js.extract_json_string("_o", "$.event_type").alias("kind"))
 
 
+@query("SELECT event_id, user_id::VARCHAR AS a, 'x' || user_id AS b, 2::INTEGER AS n, user_id AS first FROM events")
+def json_extract_all(spark, d):
+    x = events(spark, d).withColumn("_o", F.expr("to_json(named_struct('l', array(named_struct('b', struct(user_id).user_id), named_struct('b', event_id)), 's', concat('x', user_id)))"))
+    found = js.extract_json("_o", "$.l[*].b")
+    return x.select("event_id", found[0].alias("a"), js.json_get_str("_o", "s").alias("b"), F.size(found).alias("n"), F.get_json_object("_o", "$.l[0].b").cast("long").alias("first"))
+
+
+@query("SELECT event_id, floor(epoch(ts) / 3600)::INTEGER AS h, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE))::INTEGER AS d, (user_id - user_id % 7)::BIGINT AS t FROM events")
+def partition_hours(spark, d):
+    return events(spark, d).select("event_id", hashing.hours("ts").alias("h"), hashing.days("ts").alias("d"), hashing.truncate("user_id", 7, numeric=True).cast("long").alias("t"))
+
+
 @query("SELECT event_id, sha256(event_type) AS sha, md5(event_type) AS m FROM events")
 def hash_sha256(spark, d):
     return events(spark, d).select("event_id", F.sha2("event_type", 256).alias("sha"), F.md5("event_type").alias("m"))
@@ -270,9 +282,23 @@ def agg_first_last(spark, d):
     return events(spark, d).groupBy("user_id").agg(F.min_by("value", at).alias("first_value"), F.max_by("value", at).alias("last_value"))
 
 
-@query()
+@query("""SELECT event_type, true AS near, quantile_disc(value, 0.5) AS median, (SELECT quantile_cont(w.value, 0.9) FROM (SELECT e.event_type AS t, e.value FROM events e, range(3) r(i) WHERE i < e.user_id % 3 + 1) w WHERE w.t = events.event_type) AS weighted
+    FROM events GROUP BY event_type""")
 def agg_approx(spark, d):
-    return events(spark, d).groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"), F.percentile_approx("value", 0.5).alias("median"), F.percentile("value", 0.9, F.col("user_id") % 3 + 1).alias("weighted"))
+    # the count of distinct users has to be within 10 % of the exact one: twice the error that it promises
+    a = events(spark, d).groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"), F.count_distinct("user_id").alias("exact"), F.percentile_approx("value", 0.5).alias("median"), F.percentile("value", 0.9, F.col("user_id") % 3 + 1).alias("weighted"))
+    return a.select("event_type", (F.abs(F.col("users") - F.col("exact")) <= 0.1 * F.col("exact")).alias("near"), "median", "weighted")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*)::BIGINT AS n, grouping(l_returnflag)::INTEGER AS g1, grouping(l_linestatus)::INTEGER AS g2 FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
+def agg_grouping(spark, d):
+    table(spark, d, "lineitem").createOrReplaceTempView("_grouped_lines")
+    return spark.sql("SELECT l_returnflag, l_linestatus, count(*) AS n, int(grouping(l_returnflag)) AS g1, int(grouping(l_linestatus)) AS g2 FROM _grouped_lines GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
+
+
+@query("SELECT user_id, list_sort(list(event_type))[1] AS first, len(list(event_id))::INTEGER AS n, len(list(DISTINCT event_type))::INTEGER AS kinds FROM events GROUP BY user_id")
+def agg_array(spark, d):
+    return events(spark, d).groupBy("user_id").agg(F.sort_array(F.collect_list("event_type"))[0].alias("first"), F.size(F.collect_list("event_id")).alias("n"), F.size(F.collect_set("event_type")).alias("kinds"))
 
 
 @query("SELECT user_id, unnest(list_sort(list(event_id))) AS event_id FROM events GROUP BY user_id")
@@ -341,6 +367,14 @@ def lookup_left(spark, d):
     return joins.lookup_join(events(spark, d), table(spark, d, "customer"), "user_id", "c_custkey", "left").select("event_id", "c_mktsegment")
 
 
+@query("""SELECT c.event_id AS click, p.event_id AS purchase FROM (SELECT * FROM events WHERE event_type = 'click') c JOIN (SELECT * FROM events WHERE event_type = 'purchase') p
+    ON c.user_id = p.user_id AND c.ts <= p.ts + INTERVAL 2 HOUR AND p.ts <= c.ts + INTERVAL 2 HOUR""")
+def join_updating_ttl(spark, d):
+    side = lambda kind, name: events(spark, d).where(F.col("event_type") == kind).select(F.col("event_id").alias(name), F.col("user_id").alias(f"{name}_user"), F.col("ts").alias(f"{name}_ts"))
+    c, p = side("click", "click"), side("purchase", "purchase")
+    return joins.updating_join(c, p, F.col("click_user") == F.col("purchase_user"), ttl="2 hours", times=("click_ts", "purchase_ts")).select("click", "purchase")
+
+
 # OVER, top-k
 
 TOPK = f"""WITH p AS (SELECT {BIN.format(w='6 hours')} AS b, user_id FROM events), w AS (SELECT b - INTERVAL 6 HOUR * i AS start, user_id, count(*)::BIGINT AS n FROM p, range(4) r(i) GROUP BY ALL)
@@ -362,6 +396,16 @@ def over_rank_lag(spark, d):
     return c.select("window.start", "user_id", "n", F.rank().over(a).alias("rk"), F.dense_rank().over(a).alias("dr"), F.lag("n").over(b).alias("prev"), F.lead("n").over(b).alias("nxt"), F.ntile(4).over(b).alias("tile"), F.round(F.percent_rank().over(a), 6).alias("pr"), F.round(F.cume_dist().over(a), 6).alias("cd"), F.sum("n").over(b.rowsBetween(Window.unboundedPreceding, 0)).alias("run"), F.first("user_id").over(b).alias("fv"))
 
 
+@query(f"""WITH c AS (SELECT {DAY} AS start, user_id, count(*)::BIGINT AS n FROM events GROUP BY ALL)
+SELECT start, user_id, first_value(user_id) OVER w AS first, last_value(user_id) OVER w AS last, nth_value(user_id, 2) OVER w AS second, avg(n) OVER r AS near FROM c
+WINDOW w AS (PARTITION BY start ORDER BY n DESC, user_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), r AS (PARTITION BY start ORDER BY n DESC, user_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""")
+def over_values(spark, d):
+    c = windows.window_agg(events(spark, d), windows.tumble("ts", "1 day"), ["user_id"], F.count("*").alias("n"))
+    by = Window.partitionBy("window").orderBy(F.desc("n"), "user_id")
+    w = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return c.select("window.start", "user_id", F.first("user_id").over(w).alias("first"), F.last("user_id").over(w).alias("last"), F.nth_value("user_id", 2).over(w).alias("second"), F.avg("n").over(by.rowsBetween(-1, 1)).alias("near"))
+
+
 # set operations, unnest, user-defined functions
 
 
@@ -409,6 +453,25 @@ def async_udf(spark, d):
     return udf.async_map(events(spark, d).select("event_id", "user_id"), "user_id", plus, "next", "bigint").select("event_id", "next")
 
 
+@query("SELECT event_id, user_id + 1 AS i, value * 2 AS f, event_type || '!' AS s, value > 50 AS b FROM events")
+def udf_types(spark, d):
+    def next_int(x: int) -> int:
+        return x + 1
+
+    def twice(x: float) -> float:
+        return x * 2
+
+    def loud(x: str) -> str:
+        return x + "!"
+
+    def high(x: float) -> bool:
+        return x > 50
+
+    for f in (next_int, twice, loud, high):
+        udf.register_scalar(spark, f.__name__, f)
+    return events(spark, d).selectExpr("event_id", "next_int(user_id) AS i", "twice(value) AS f", "loud(event_type) AS s", "high(value) AS b")
+
+
 # changelogs
 
 #: A changelog of orders: all created, every third updated (its price doubled), every seventh then deleted.
@@ -551,6 +614,112 @@ def script_json_operators(spark, d):
     return Engine(spark, {"stream": e.withColumn("nested", nested)}).run(script)[0]
 
 
+STREAM = "CREATE TABLE stream (event_id BIGINT, ts TIMESTAMP NOT NULL, user_id BIGINT, event_type TEXT, value DOUBLE, WATERMARK FOR ts) WITH (connector = 'single_file', path = 'given', format = 'json', type = 'source');"
+
+
+def _script(spark: SparkSession, d: str, text: str) -> DataFrame:
+    return Engine(spark, {"stream": events(spark, d)}).run(STREAM + text)[0]
+
+
+@query("SELECT event_id, value FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, value * 2 FROM events WHERE event_type = 'view'")
+def script_memory_table(spark, d):
+    return _script(spark, d, """CREATE TABLE kept (event_id BIGINT, value DOUBLE);
+    INSERT INTO kept SELECT event_id, value FROM stream WHERE event_type = 'click';
+    INSERT INTO kept SELECT event_id, value * 2 FROM stream WHERE event_type = 'view';
+    SELECT event_id, value FROM kept;""")
+
+
+@query("SELECT user_id, count(*)::BIGINT AS n FROM events GROUP BY user_id HAVING count(*) >= 5")
+def script_cte(spark, d):
+    return _script(spark, d, "WITH c AS (SELECT user_id, count(*) AS n FROM stream GROUP BY user_id) SELECT user_id, n FROM c WHERE n >= 5;")
+
+
+@query("SELECT k::INTEGER AS k, v FROM (VALUES (1, 'a'), (2, NULL), (3, 'it''s')) t(k, v)")
+def script_values(spark, d):
+    return Engine(spark).run("SELECT k, v FROM (VALUES (1, 'a'), (2, NULL), (3, 'it''s')) AS t(k, v);")[0]
+
+
+@query("SELECT event_id, ts AS at FROM events WHERE ts > TIMESTAMP '2024-01-02'")
+def script_row_time(spark, d):
+    return _script(spark, d, "SELECT event_id, row_time() AS at FROM stream WHERE row_time() > TIMESTAMP '2024-01-02';")
+
+
+@query(f"SELECT {HOUR} AS start, event_type, count(*)::BIGINT AS n FROM events WHERE value > 20 GROUP BY ALL")
+def script_hidden_time(spark, d):
+    return _script(spark, d, """CREATE VIEW high AS SELECT event_type, value FROM stream WHERE value > 20;
+    CREATE VIEW kinds AS SELECT event_type FROM high;
+    SELECT window.start AS start, event_type, n FROM (SELECT tumble(interval '1 hour') AS window, event_type, count(*) AS n FROM (SELECT event_type FROM kinds) GROUP BY window, event_type) WHERE window IS NOT NULL;""")
+
+
+@query(f"""WITH j AS (SELECT greatest(c.ts, v.ts) AS ts FROM (SELECT * FROM events WHERE event_type = 'click') c JOIN (SELECT * FROM events WHERE event_type = 'view') v ON c.user_id = v.user_id)
+SELECT {DAY} AS start, count(*)::BIGINT AS n FROM j GROUP BY ALL""")
+def script_join_time(spark, d):
+    return _script(spark, d, """CREATE VIEW c AS SELECT user_id FROM stream WHERE event_type = 'click';
+    CREATE VIEW v AS SELECT user_id FROM stream WHERE event_type = 'view';
+    CREATE VIEW pairs AS SELECT c.user_id AS user_id FROM c JOIN v ON c.user_id = v.user_id;
+    SELECT window.start AS start, n FROM (SELECT tumble(interval '1 day') AS window, count(*) AS n FROM pairs GROUP BY window);""")
+
+
+@query("SELECT event_id, user_id AS a, event_id AS b, NULL::BIGINT AS c, value + 1 AS later FROM events")
+def script_subscript(spark, d):
+    script = STREAM.replace("value DOUBLE,", "value DOUBLE, more DOUBLE GENERATED ALWAYS AS (value + 1),")
+    return Engine(spark, {"stream": events(spark, d)}).run(script + "SELECT event_id, make_array(user_id, event_id)[1] AS a, array[user_id, event_id][2] AS b, make_array(user_id)[2] AS c, more AS later FROM stream;")[0]
+
+
+@query("SELECT TIMESTAMP '2023-01-01' + INTERVAL 10 SECOND * (i // 20) AS start, count(*)::BIGINT AS n, sum(i)::BIGINT AS total FROM range(1000) r(i) GROUP BY ALL")
+def script_impulse(spark, d):
+    return Engine(spark).run("""CREATE TABLE i (timestamp TIMESTAMP, counter BIGINT) WITH (connector = 'impulse', message_count = '1000', interval = '500', type = 'source');
+    SELECT window.start AS start, n, total FROM (SELECT tumble(interval '10 seconds') AS window, count(*) AS n, sum(counter) AS total FROM i GROUP BY window);""")[0]
+
+
+@query("SELECT 100::BIGINT AS persons, 300::BIGINT AS auctions, 4600::BIGINT AS bids")
+def script_nexmark(spark, d):
+    return Engine(spark).run("CREATE TABLE n WITH (connector = 'nexmark', message_count = '5000', event_rate = '100', type = 'source'); SELECT count(person) AS persons, count(auction) AS auctions, count(bid) AS bids FROM n;".replace("n WITH", "n () WITH"))[0]
+
+
+def _through_files(spark: SparkSession, d: str, name: str, columns: str, options: str, select: str) -> DataFrame:
+    """What a script writes to files and another reads back."""
+    path = scratch(spark, name)
+    e = Engine(spark, {"stream": events(spark, d)})
+    e.run(f"{STREAM} CREATE TABLE o ({columns}) WITH (connector = 'filesystem', path = '{path}', type = 'sink', {options}); INSERT INTO o {select};")
+    e.flush()
+    return Engine(spark).run(f"CREATE TABLE i ({columns}) WITH (connector = 'filesystem', path = '{path}', type = 'source', {options}); SELECT * FROM i;")[0]
+
+
+@query("SELECT event_id, ts, event_type, value FROM events")
+def file_json(spark, d):
+    return _through_files(spark, d, "file_json", "event_id BIGINT, ts TIMESTAMP, event_type TEXT, value DOUBLE", "format = 'json'", "SELECT event_id, ts, event_type, value FROM stream")
+
+
+@query("SELECT event_id, date_trunc('millisecond', ts) AS ts FROM events")
+def file_json_millis(spark, d):
+    return _through_files(spark, d, "file_json_millis", "event_id BIGINT, ts TIMESTAMP", "format = 'json', json.timestamp_format = 'unix_millis', framing = 'newline'", "SELECT event_id, ts FROM stream")
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def file_parquet_partitioned(spark, d):
+    return _through_files(spark, d, "file_parquet", "event_id BIGINT, event_type TEXT, value DOUBLE", "format = 'parquet', partition_fields = 'event_type', shuffle_by_partition.enabled = 'true'", "SELECT event_id, event_type, value FROM stream").select("event_id", "event_type", "value")
+
+
+@query("SELECT event_id, value FROM events WHERE value > 50")
+def file_debezium(spark, d):
+    return _through_files(spark, d, "file_debezium", "event_id BIGINT PRIMARY KEY, value DOUBLE", "format = 'debezium_json'", "SELECT event_id, value FROM stream WHERE value > 50")
+
+
+@query("SELECT event_type || '/' || event_id AS value FROM events")
+def file_raw_string(spark, d):
+    path = scratch(spark, "file_raw")
+    events(spark, d).select(F.concat_ws("/", "event_type", "event_id").alias("value")).write.text(path)
+    return Engine(spark).run(f"CREATE TABLE i (value TEXT) WITH (connector = 'single_file', path = '{path}', type = 'source', format = 'raw_string'); SELECT value FROM i;")[0]
+
+
+@query("SELECT event_id FROM events WHERE event_id % 3 <> 0")
+def file_bad_data(spark, d):
+    path = scratch(spark, "file_bad")
+    events(spark, d).select(F.expr("if(event_id % 3 = 0, concat('no ', event_id), to_json(struct(event_id)))").alias("value")).write.text(path)
+    return Engine(spark).run(f"CREATE TABLE i (event_id BIGINT) WITH (connector = 'single_file', path = '{path}', type = 'source', format = 'json', bad_data = 'drop'); SELECT event_id FROM i;")[0]
+
+
 # batch-only extensions
 
 

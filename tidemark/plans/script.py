@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +19,7 @@ from ..sources import connectors
 from ..streaming import runner
 from ..types import spark_type, split_top
 from ..operators.windows import micros
-from .rewrite import TIME, rewrite
+from .rewrite import TIME, carry_time, rewrite
 from .validate import LOOKUP, PLAIN, UPDATING, PlanError, check_plan, check_select, check_sink, check_watermark
 
 
@@ -104,6 +105,8 @@ class Engine:
         self.spark, self.inputs, self.streaming, self.live = spark, {k.lower(): v for k, v in (inputs or {}).items()}, streaming, live
         #: tables and views whose rows aren't plain
         self.kinds: dict[str, str] = {}
+        #: views that leave event time out: as they are, and with it
+        self.views: dict[str, tuple[DataFrame, DataFrame]] = {}
         self.sink_kinds: dict[str, str] = {}
         self.tables: dict[str, Table] = {}
         self.settings: dict[str, str] = {"updating_ttl": "1 day"}
@@ -139,14 +142,41 @@ class Engine:
         micros(delay)
         return delay
 
+    def _timed(self, sql: str) -> DataFrame:
+        """The query with event time carried through lists and views that leave it out."""
+        for name, (_, timed) in self.views.items():
+            timed.createOrReplaceTempView(name)
+        try:
+            return self.spark.sql(rewrite(carry_time(sql)))
+        finally:
+            for name, (df, _) in self.views.items():
+                df.createOrReplaceTempView(name)
+
     def _planned(self, sql: str) -> tuple[DataFrame, str]:
         check_select(sql, self.streaming)
-        df = self.spark.sql(rewrite(sql))
+        try:
+            df = self.spark.sql(rewrite(sql))
+        except AnalysisException as e:
+            if TIME not in str(e):
+                raise
+            df = self._timed(sql)
         return df, check_plan(df, self.kinds) if self.streaming else PLAIN
 
+    def _view(self, name: str, sql: str) -> None:
+        df, kind = self._planned(sql)
+        df.createOrReplaceTempView(name)
+        self.views.pop(name.lower(), None)
+        self.kinds.pop(name.lower(), None)
+        if kind != PLAIN:
+            self.kinds[name.lower()] = kind
+        elif TIME not in df.columns:
+            try:
+                self.views[name.lower()] = (df, self._timed(sql))
+            except AnalysisException:
+                pass  # its inputs have no event time
+
     def query(self, sql: str) -> DataFrame:
-        df, _ = self._planned(sql)
-        return df.drop(TIME) if TIME in df.columns and df.columns.count(TIME) == 1 else df
+        return self._planned(sql)[0].drop(TIME)
 
     def run(self, script: str) -> list[DataFrame]:
         """Results of bare SELECTs, in order; INSERTs go to self.sinks and to their connectors on flush()."""
@@ -159,11 +189,7 @@ class Engine:
                     raise PlanError(f"unknown variable {m[1]}")
                 self.settings["updating_ttl"] = f"{m[2]} {m[3] or ''}".strip()
             elif m := re.match(r"(?is)create\s+(?:or\s+replace\s+)?(?:view|table)\s+(\w+)\s+as\s+(.*)$", s):
-                df, kind = self._planned(m[2])
-                df.createOrReplaceTempView(m[1])
-                self.kinds.pop(m[1].lower(), None)
-                if kind != PLAIN:
-                    self.kinds[m[1].lower()] = kind
+                self._view(m[1], m[2])
             elif re.match(r"(?i)create\b", s):
                 t = parse_table(s)
                 self.tables[t.name] = t
@@ -171,7 +197,7 @@ class Engine:
                     self._scan(t).createOrReplaceTempView(t.name)
             elif m := re.match(r"(?is)insert\s+into\s+(\w+)\s*(?:\(([^)]*)\))?\s*(.*)$", s):
                 df, kind = self._planned(m[3])
-                self._insert(m[1].lower(), df.drop(TIME) if df.columns.count(TIME) == 1 else df, kind)
+                self._insert(m[1].lower(), df.drop(TIME), kind)
             elif re.match(r"(?i)(select|with|values)\b", s):
                 out.append(self.query(s))
             else:

@@ -17,19 +17,26 @@ SIMPLE = {
 }
 
 
+GENERIC = re.compile(r"(?i)(?:array|struct|map)\s*$")
+
+
 def split_top(text: str, sep: str = ",") -> list[str]:
-    """Parts of text between separators that stand outside brackets and quotes."""
-    parts, depth, quote, start = [], 0, "", 0
+    """Parts of text between separators that stand outside brackets and quotes. < and > are brackets only behind ARRAY, STRUCT or MAP."""
+    parts, depth, quote, start, angles = [], 0, "", 0, 0
     for i, c in enumerate(text):
         if quote:
             quote = "" if c == quote else quote
         elif c in "'\"`":
             quote = c
-        elif c in "(<[":
+        elif c in "([":
             depth += 1
-        elif c in ")>]" and not (c == ">" and text[i - 1 : i] in ("-", "=")):
+        elif c in ")]":
             depth -= 1
-        elif c == sep and depth == 0:
+        elif c == "<" and GENERIC.search(text, max(start, i - 16), i):
+            angles += 1
+        elif c == ">" and angles:
+            angles -= 1
+        elif c == sep and depth == 0 and angles == 0:
             parts.append(text[start:i].strip())
             start = i + 1
     return [p for p in [*parts, text[start:].strip()] if p]
