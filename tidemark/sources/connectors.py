@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.validate import PlanError
-from . import formats, generators
+from . import formats, generators, web
 
 COMMON = {"connector", "format", "type", "event_time_field", "watermark_field", "bad_data", "framing", "framing.method", "framing.max_length", "idle_micros", "json.unstructured", "json.debezium", "json.include_schema", "json.timestamp_format", "json.decimal_encoding", "lookup.cache.max_bytes", "lookup.cache.ttl"}
 #: Connector -> the options of its own. A trailing dot allows a family of options.
@@ -38,6 +38,7 @@ REFUSED: dict[str, str] = {
     "json.include_schema": "results carry no schema envelope",
     "rollover_seconds": "files end with the batch that writes them", "target_file_size": "file sizes follow the partitions", "rolling_policy.": "files end with the batch that writes them",
     "file_naming.": "Spark names the files", "filename.": "Spark names the files", "wait_for_control": "there is no control channel",
+    "cluster.addresses": "only single Redis servers are known",
 }
 TIMESTAMP_FORMATS, DECIMAL_ENCODINGS = {"rfc3339", "unix_millis"}, {"number", "string"}
 #: Which connectors are sources and sinks; redis is a lookup source.
@@ -46,6 +47,9 @@ SINKS = dict.fromkeys(["kafka", "confluent", "kinesis", "fluvio", "nats", "mqtt"
 #: Those that Spark reads and writes by a package or a registered data source of the same name.
 EXTERNAL = {"kafka": "kafka", "confluent": "kafka", "kinesis": "kinesis", "fluvio": "fluvio", "nats": "nats", "mqtt": "mqtt", "rabbitmq": "rabbitmq", "redis": "redis", "delta": "delta", "iceberg": "iceberg", "sse": "sse", "websocket": "websocket", "polling_http": "polling_http", "webhook": "webhook"}
 
+#: Those that tidemark.sources.web speaks itself.
+WEB = {"polling_http", "sse", "websocket", "webhook"}
+
 
 def check(options: dict[str, str]) -> None:
     """Unknown connectors and options are errors."""
@@ -89,6 +93,8 @@ def read(spark: SparkSession, options: dict[str, str], schema: T.StructType, str
                 reader = reader.option("pathGlobFilter", options["source.regex-pattern"])
             return reader.schema(schema).parquet(options["path"])
         return formats.decode(reader.text(options["path"]), schema, options)
+    if name in WEB:
+        web.register(spark)
     raw = reader.format(EXTERNAL[name]).options(**external_options(options)).load()
     return formats.decode(raw, schema, options)
 
@@ -116,5 +122,9 @@ def write(df: DataFrame, options: dict[str, str], partitions: list[str] | None =
         df.write.format("noop").mode("overwrite").save()
     elif name == "preview":
         df.createOrReplaceTempView("preview")
+    elif name == "redis":
+        web.write_redis(df.withColumn("_value", formats.encode(df, options)), options)
     else:
+        if name in WEB:
+            web.register(df.sparkSession)
         df.select(formats.encode(df, options).alias("value")).write.format(EXTERNAL[name]).options(**external_options(options)).mode("append").save()
