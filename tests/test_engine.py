@@ -2,12 +2,13 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import hashing
 from tidemark.functions import json as js
 from tidemark.operators import debezium, updating, windows
 from tidemark.plans.rewrite import carry_time, rewrite
 from tidemark.plans.script import Engine, parse_table, statements
 from tidemark.plans.validate import PlanError, check_select
-from tidemark.sources import connectors, generators
+from tidemark.sources import connectors, formats, generators
 from tidemark.streaming import runner
 from tidemark.types import spark_type, split_top
 
@@ -257,6 +258,35 @@ def test_json_timestamps_and_decimals(spark, tmp_path):
     assert connectors.read(spark, o, d.schema).first() == d.first()
 
 
+def test_buckets_follow_the_published_hash(spark):
+    """Values of the table format's specification."""
+    d = spark.sql("select 34L as i, date '2017-11-16' as d, timestamp '2017-11-16 22:31:08' as t, 'iceberg' as s, unhex('00010203') as b, '' as e, cast(null as string) as n")
+    h = d.select(*[hashing.murmur3(F.col(f.name), f.dataType).alias(f.name) for f in d.schema.fields]).first()
+    signed = [x if x is None or x < 2**31 else x - 2**32 for x in h]
+    assert signed == [2017239379, -653330422, -2047944441, 1210000089, -188683207, 0, None]
+    assert d.select(hashing.bucket("i", 16)).first()[0] == 2017239379 % 16
+
+
+def test_partition_transforms_of_a_sink(spark, tmp_path):
+    e = Engine(spark)
+    e.run(f"""CREATE TABLE o (id BIGINT, t TIMESTAMP, city TEXT) PARTITIONED BY (day(t), bucket(4, id), truncate(2, city), id) WITH (connector = 'filesystem', path = '{tmp_path}/o', format = 'parquet', type = 'sink');
+    INSERT INTO o SELECT * FROM (VALUES (34, TIMESTAMP '1970-01-03 10:00:00', 'Bonn'));""")
+    e.flush()
+    r = spark.read.parquet(f"{tmp_path}/o").first()
+    assert (r.t_day, r.id_bucket, r.city_trunc, r.id, r.city) == (2, 2017239379 % 4, "Bo", 34, "Bonn")
+    with pytest.raises(ValueError, match="unknown partition transform"):
+        hashing.transform("week(t)", T.StructType([T.StructField("t", T.TimestampType())]))
+
+
+def test_metadata_columns(spark):
+    raw = spark.createDataFrame([('{"a": 1}', "t1", 7), ('{"a": 2}', "t1", 8), ("no", "t1", 9)], "value string, topic string, offset long")
+    keep = connectors.metadata_columns("kafka", {"of": "offset_id", "a_topic": "topic"})
+    got = formats.decode(raw, T.StructType([T.StructField("a", T.LongType())]), {"format": "json", "bad_data": "drop", "framing": "newline"}, keep)
+    assert sorted((r.a, r.of, r.a_topic) for r in got.collect()) == [(1, 7, "t1"), (2, 8, "t1")]
+    with pytest.raises(PlanError, match="no metadata 'lag'"):
+        connectors.metadata_columns("kafka", {"x": "lag"})
+
+
 def test_global_sessions_across_spans(spark):
     rows = ["2024-01-01 23:58:00", "2024-01-02 00:01:00", "2024-01-02 00:20:00", "2024-01-02 12:00:00", "2024-01-02 23:59:59", "2024-01-03 00:04:59", "2024-01-05 00:00:00"]
     d = spark.createDataFrame([(t,) for t in rows], "t string").selectExpr("cast(t as timestamp) t")

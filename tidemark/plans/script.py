@@ -113,7 +113,7 @@ class Engine:
         self.sinks: dict[str, DataFrame] = {}
 
     def _scan(self, t: Table) -> DataFrame:
-        df = self.inputs[t.name] if t.name in self.inputs else connectors.read(self.spark, t.options, t.schema, stream=self.live)
+        df = self.inputs[t.name] if t.name in self.inputs else connectors.read(self.spark, t.options, t.schema, stream=self.live, metadata=t.metadata)
         if t.options.get("format") == "debezium_json":
             if df.isStreaming:
                 raise PlanError("changelog tables are read as bounded data")
@@ -122,6 +122,9 @@ class Engine:
             self.kinds[t.name] = UPDATING
         elif t.temporary:
             self.kinds[t.name] = LOOKUP
+        for f in t.fields:
+            if f.name in t.metadata and f.name in df.columns:
+                df = df.withColumn(f.name, F.col(f.name).cast(f.dataType))
         for name, expr in t.generated.items():
             df = df.withColumn(name, F.expr(rewrite(expr)).cast(next(f.dataType for f in t.fields if f.name == name)))
         at = t.options.get("event_time_field") or (t.watermark[0] if t.watermark else None) or next((f.name for f in t.fields if isinstance(f.dataType, T.TimestampType)), None)

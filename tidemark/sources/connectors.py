@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import hashing
 from ..plans.validate import PlanError
 from . import formats, generators, web
 
@@ -77,7 +78,22 @@ def external_options(options: dict[str, str]) -> dict[str, str]:
     return {k: v for k, v in options.items() if k not in COMMON}
 
 
-def read(spark: SparkSession, options: dict[str, str], schema: T.StructType, stream: bool = False) -> DataFrame:
+#: Metadata of messages: key of the dialect -> column of the source.
+METADATA = {"kafka": {"offset_id": "offset", "partition": "partition", "topic": "topic", "timestamp": "timestamp", "key": "key"}, "mqtt": {"topic": "topic"}}
+METADATA["confluent"] = METADATA["kafka"]
+
+
+def metadata_columns(connector: str, wanted: dict[str, str]) -> dict[str, str]:
+    """Column of the source for each metadata column of a table; PlanError for keys that the connector does not have."""
+    known = METADATA.get(connector, {})
+    for key in wanted.values():
+        if key not in known:
+            raise PlanError(f"connector '{connector}' has no metadata '{key}'")
+    return {name: known[key] for name, key in wanted.items()}
+
+
+def read(spark: SparkSession, options: dict[str, str], schema: T.StructType, stream: bool = False, metadata: dict[str, str] | None = None) -> DataFrame:
+    """metadata: column of the table -> key of the message's metadata."""
     name = options["connector"]
     if name not in SOURCES:
         raise PlanError(f"connector '{name}' is not a source")
@@ -96,7 +112,7 @@ def read(spark: SparkSession, options: dict[str, str], schema: T.StructType, str
     if name in WEB:
         web.register(spark)
     raw = reader.format(EXTERNAL[name]).options(**external_options(options)).load()
-    return formats.decode(raw, schema, options)
+    return formats.decode(raw, schema, options, metadata_columns(name, metadata or {}))
 
 
 def write(df: DataFrame, options: dict[str, str], partitions: list[str] | None = None) -> None:
@@ -105,7 +121,9 @@ def write(df: DataFrame, options: dict[str, str], partitions: list[str] | None =
     if name not in SINKS:
         raise PlanError(f"connector '{name}' is not a sink")
     if name in ("filesystem", "single_file"):
-        cols = [c.strip() for c in options.get("partition_fields", "").split(",") if c.strip()] or list(partitions or [])
+        cols = [c.strip() for c in options.get("partition_fields", "").split(",") if c.strip()]
+        for name, value in [] if cols else [hashing.transform(p, df.schema) for p in partitions or []]:
+            df, cols = df.withColumn(name, value), [*cols, name]
         if pattern := options.get("time_partition_pattern"):
             java = pattern.replace("%Y", "yyyy").replace("%m", "MM").replace("%d", "dd").replace("%H", "HH").replace("%M", "mm")
             df, cols = df.withColumn("time", F.date_format(options.get("event_time_field", "_timestamp"), java)), ["time", *cols]

@@ -60,30 +60,35 @@ def plain(df: DataFrame, options: dict[str, str]) -> DataFrame:
 JSON_OUT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "ignoreNullFields": "false"}
 
 
-def decode(df: DataFrame, schema: T.StructType, options: dict[str, str]) -> DataFrame:
-    """value (text or bytes) -> columns. bad_data=drop leaves out what does not parse, else it fails."""
+def decode(df: DataFrame, schema: T.StructType, options: dict[str, str], keep: dict[str, str] | None = None) -> DataFrame:
+    """value (text or bytes) -> columns. bad_data=drop leaves out what does not parse, else it fails. keep: further columns of df by their new names."""
     kind = options.get("format", "json")
-    text = F.col("value").cast("string")
+    extra = [F.col(f"`{c}`").alias(f"_kept_{name}") for name, c in (keep or {}).items()]
+    df, text = df.select(*extra, "value"), F.col("value").cast("string")
+    kept = [F.col(c) for c in df.columns[:-1]]
     if options.get("framing", options.get("framing.method")) == "newline":
         longest = int(options.get("framing.max_length", 0))
-        lines = df.select(F.explode(F.split(text, "\n")).alias("value")).where("value <> ''")
+        lines = df.select(*kept, F.explode(F.split(text, "\n")).alias("value")).where("value <> ''")
         if longest:  # a longer frame is an error, not a part of one
-            lines = lines.select(F.when(F.octet_length("value") <= longest, F.col("value")).otherwise(F.raise_error(F.lit(f"a frame is longer than {longest} bytes")).cast("string")).alias("value"))
+            lines = lines.select(*kept, F.when(F.octet_length("value") <= longest, F.col("value")).otherwise(F.raise_error(F.lit(f"a frame is longer than {longest} bytes")).cast("string")).alias("value"))
         df, text = lines, F.col("value")
+    named = [F.col(f"_kept_{name}").alias(name) for name in keep or {}]
     if kind in ("raw_string", "raw_bytes"):
-        return df.select(text.alias("value") if kind == "raw_string" else F.col("value").cast("binary").alias("value"))
+        return df.select(text.alias("value") if kind == "raw_string" else F.col("value").cast("binary").alias("value"), *named)
     if kind not in ("json", "debezium_json"):
         raise ValueError(f"format {kind} needs a package that isn't installed")
     if options.get("json.unstructured") == "true":
-        return df.select(text.alias("value"))
+        return df.select(text.alias("value"), *named)
     full = debezium_schema(schema) if kind == "debezium_json" else schema
-    if _by_millis(options):
-        rows = decode(df.select(text.alias("value")), _millis(schema), {k: v for k, v in options.items() if k != "json.timestamp_format" and not k.startswith("framing")})
-        return rows.select(*[_from_millis(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in full.fields])
+    millis = _by_millis(options)
+    read = T.StructType([T.StructField(f.name, _millis(f.dataType) if millis else f.dataType, f.nullable) for f in full.fields])
     if options.get("bad_data") == "drop":
-        marked = T.StructType([*full.fields, T.StructField("_corrupt", T.StringType())])
-        return df.select(F.from_json(text, marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("v")).where("v._corrupt is null").select("v.*").drop("_corrupt")
-    return df.select(F.from_json(text, full, {"mode": "FAILFAST"}).alias("v")).select("v.*")
+        marked = T.StructType([*read.fields, T.StructField("_corrupt", T.StringType())])
+        rows = df.select(*kept, F.from_json(text, marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("_v")).where("_v._corrupt is null")
+    else:
+        rows = df.select(*kept, F.from_json(text, read, {"mode": "FAILFAST"}).alias("_v"))
+    field = lambda f: F.col("_v")[f.name]
+    return rows.select(*[(_from_millis(field(f), f.dataType) if millis else field(f)).alias(f.name) for f in full.fields], *named)
 
 
 def encode(df: DataFrame, options: dict[str, str]) -> Column:
