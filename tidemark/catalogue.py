@@ -133,6 +133,21 @@ def partition_transforms(spark, d):
     return table(spark, d, "orders").select("o_orderkey", hashing.years("o_orderdate").alias("y"), hashing.months("o_orderdate").alias("m"), hashing.days("o_orderdate").alias("dd"), hashing.truncate("o_orderkey", 10, numeric=True).cast("long").alias("t"), hashing.truncate("o_orderpriority", 2).alias("s"))
 
 
+def _bucket_sql(n: int) -> str:
+    """The bucket hash step by step, in numbers that can't overflow."""
+    t, word = 2**32, lambda x: f"(((({x} * {hashing.C1}) % {2**32} * 32768) % {2**32} + ({x} * {hashing.C1}) % {2**32} // 131072) * {hashing.C2}) % {2**32}"
+    mixed = lambda h: f"((({h} * 8192) % {t} + {h} // 524288) * 5 + {hashing.ADD}) % {t}"
+    return f"""WITH p AS (SELECT event_id, (event_id % {t})::HUGEINT AS lo, (event_id // {t})::HUGEINT AS hi FROM events),
+    a AS (SELECT event_id, hi, {word('lo')} AS h FROM p), b AS (SELECT event_id, xor({mixed('h')}, {word('hi')}) AS h FROM a), c AS (SELECT event_id, xor({mixed('h')}, 8::HUGEINT) AS h FROM b),
+    d AS (SELECT event_id, (xor(h, h // 65536) * {hashing.FINAL1}) % {t} AS h FROM c), e AS (SELECT event_id, (xor(h, h // 8192) * {hashing.FINAL2}) % {t} AS h FROM d)
+    SELECT event_id, ((xor(h, h // 65536) % {2**31}) % {n})::INTEGER AS bucket FROM e"""
+
+
+@query(_bucket_sql(16))
+def partition_bucket(spark, d):
+    return events(spark, d).select("event_id", hashing.bucket("event_id", 16).alias("bucket"))
+
+
 def _rewritten(df: DataFrame, *exprs: str) -> DataFrame:
     """Expressions of the dialect, as a script would have them."""
     return df.selectExpr(*map(rewrite, exprs))
@@ -701,9 +716,9 @@ def file_parquet_partitioned(spark, d):
     return _through_files(spark, d, "file_parquet", "event_id BIGINT, event_type TEXT, value DOUBLE", "format = 'parquet', partition_fields = 'event_type', shuffle_by_partition.enabled = 'true'", "SELECT event_id, event_type, value FROM stream").select("event_id", "event_type", "value")
 
 
-@query("SELECT event_id, value FROM events WHERE value > 50")
+@query("SELECT event_id, date_trunc('millisecond', ts) AS ts, value FROM events WHERE value > 50")
 def file_debezium(spark, d):
-    return _through_files(spark, d, "file_debezium", "event_id BIGINT PRIMARY KEY, value DOUBLE", "format = 'debezium_json'", "SELECT event_id, value FROM stream WHERE value > 50")
+    return _through_files(spark, d, "file_debezium", "event_id BIGINT PRIMARY KEY, ts TIMESTAMP, value DOUBLE", "format = 'debezium_json'", "SELECT event_id, ts, value FROM stream WHERE value > 50")
 
 
 @query("SELECT event_type || '/' || event_id AS value FROM events")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import debezium, updating
-from ..sources import connectors
+from ..sources import connectors, formats
 from ..streaming import runner
 from ..types import spark_type, split_top
 from ..operators.windows import micros
@@ -233,15 +233,16 @@ class Engine:
             t = self.tables[name]
             if t.options.get("connector") not in ("filesystem", "single_file"):
                 raise PlanError("streaming results go to file sinks")
-            at = f"{checkpoint}/{name}"
+            at, form = f"{checkpoint}/{name}", lambda df, o=t.options: formats.plain(df, o)
             if self.sink_kinds[name] == UPDATING:
                 if not t.keys:
                     raise PlanError(f"{name} needs a PRIMARY KEY to keep an updating result")
-                sink = runner.updating_to_changelog(f"{at}/rows", t.options["path"], t.keys, fmt="json")
+                sink = runner.updating_to_changelog(f"{at}/rows", t.options["path"], t.keys, fmt="json", form=form)
                 runner.run_to_end(df, f"{at}/progress", sink, "update")
             else:
-                out = debezium.to_debezium if t.options.get("format") == "debezium_json" else None
-                runner.run_to_end(df, f"{at}/progress", runner.to_table(t.options["path"], out, "parquet" if t.options.get("format") == "parquet" else "json"))
+                kind = t.options.get("format")
+                out = (lambda df, form=form: form(debezium.to_debezium(df))) if kind == "debezium_json" else None if kind == "parquet" else form
+                runner.run_to_end(df, f"{at}/progress", runner.to_table(t.options["path"], out, "parquet" if kind == "parquet" else "json"))
 
     def flush(self) -> None:
         """Writes every sink once; inserts into one sink have been merged."""

@@ -41,7 +41,7 @@ REFUSED: dict[str, str] = {
     "file_naming.": "Spark names the files", "filename.": "Spark names the files", "wait_for_control": "there is no control channel",
     "cluster.addresses": "only single Redis servers are known",
 }
-TIMESTAMP_FORMATS, DECIMAL_ENCODINGS = {"rfc3339", "unix_millis"}, {"number", "string"}
+TIMESTAMP_FORMATS, DECIMAL_ENCODINGS = {"rfc3339", "unix_millis", "unixmillis"}, {"number", "string"}
 #: Which connectors are sources and sinks; redis is a lookup source.
 SOURCES = dict.fromkeys(["kafka", "confluent", "kinesis", "fluvio", "nats", "mqtt", "rabbitmq", "filesystem", "single_file", "impulse", "nexmark", "sse", "websocket", "polling_http"], True)
 SINKS = dict.fromkeys(["kafka", "confluent", "kinesis", "fluvio", "nats", "mqtt", "redis", "filesystem", "delta", "iceberg", "single_file", "webhook", "stdout", "blackhole", "preview"], True)

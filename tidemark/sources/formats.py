@@ -45,7 +45,9 @@ def _encoded(c: Column, t: T.DataType, millis: bool, text: bool) -> Column:
 
 
 def _by_millis(options: dict[str, str]) -> bool:
-    return options.get("json.timestamp_format", "rfc3339").lower() == "unix_millis"
+    """Timestamps are milliseconds where the options say so, and in changelogs unless they say otherwise."""
+    usual = "unix_millis" if options.get("format") == "debezium_json" else "rfc3339"
+    return options.get("json.timestamp_format", usual).lower() in ("unix_millis", "unixmillis")
 
 
 def plain(df: DataFrame, options: dict[str, str]) -> DataFrame:

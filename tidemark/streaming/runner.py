@@ -44,12 +44,12 @@ def to_table(path: str, then: Callable[[DataFrame], DataFrame] | None = None, fm
     return sink
 
 
-def updating_to_changelog(state: str, out: str, keys: list[str], ttl: str | None = None, at: str | None = None, gone: Column | None = None, fmt: str = "parquet") -> Callable[[DataFrame, int], None]:
+def updating_to_changelog(state: str, out: str, keys: list[str], ttl: str | None = None, at: str | None = None, gone: Column | None = None, fmt: str = "parquet", form: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
     """A sink for update mode that turns new values into c, u and d events against the rows last written.
 
     state/n holds the aggregate after batch n: a repeated batch starts from n - 1 again and gives the same events; older states are deleted.
     Keys may be null. gone: a key whose new value meets this is retracted, such as a count of 0. ttl, at: keys whose event time (column at) lies
-    further back than ttl from the latest one are retracted and forgotten."""
+    further back than ttl from the latest one are retracted and forgotten. form: how events are written."""
 
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -64,7 +64,8 @@ def updating_to_changelog(state: str, out: str, keys: list[str], ttl: str | None
                 new = new.where(F.col(at).isNull() | ~updating.is_expired(at, ttl, F.lit(latest)))
         new.write.mode("overwrite").parquet(f"{state}/{number}")
         new = spark.read.schema(batch.schema).parquet(f"{state}/{number}")
-        updating.changes(old, new, keys).write.mode("overwrite").format(fmt).save(f"{out}/batch={number}")
+        events = updating.changes(old, new, keys)
+        (form(events) if form else events).write.mode("overwrite").format(fmt).save(f"{out}/batch={number}")
         batch.unpersist()
         _delete(spark, f"{state}/{number - 2}")
 
