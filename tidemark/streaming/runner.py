@@ -28,9 +28,16 @@ def write_sentinel(spark: SparkSession, schema: str, ts: str, path: str, fmt: st
     row.write.mode("append").format(fmt).save(path)
 
 
-def run_to_end(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Runs over all there is, then stops; sink gets each batch and its number (the same number again after a failure)."""
-    q = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
+def run_to_end(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append", empty_batches: bool = True) -> None:
+    """Runs over all there is, then stops; sink gets each batch and its number (the same number again after a failure).
+    empty_batches: also batches without input, which close windows; False for processing-time timers, which would ask for such batches for ever."""
+    spark, name = df.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(empty_batches).lower())
+    try:  # a query copies the settings when it starts
+        q = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(name, before)
     q.awaitTermination()
 
 
