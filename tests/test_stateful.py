@@ -76,3 +76,42 @@ def test_idle_keys_are_retracted_and_start_anew(spark, tmp_path):
 def test_refused_functions(spark):
     with pytest.raises(ValueError, match="median"):
         stateful.updating_aggregate(spark.range(1), [], {"m": ("median", "id")})
+
+
+def replayed(spark, path, schema, keys):
+    return rows(debezium.replay(spark.read.schema(f"before struct<{schema}>, after struct<{schema}>, op string, batch int").json(path), keys, "batch"))
+
+
+def test_script_of_updating_results_over_changelogs(spark, tmp_path):
+    """An aggregate of a changelog, one over another aggregate with HAVING and arithmetic, DISTINCT and a filtered call, each over several batches."""
+    from tidemark.plans.script import Engine
+
+    o = spark.read.parquet(f"{SF}/orders.parquet").selectExpr("o_orderkey as id", "o_custkey as c", "cast(o_totalprice as bigint) as v")
+    row = lambda v: f"struct(id, c, {v} as v)"
+    none = "cast(null as struct<id: bigint, c: bigint, v: bigint>)"
+    o.selectExpr(f"{none} as before", f"{row('v')} as after", "'c' as op").coalesce(1).write.option("ignoreNullFields", "false").json(str(tmp_path / "in"))
+    script = f"""
+    SET updating_ttl = interval '2 days';
+    CREATE TABLE o (id BIGINT PRIMARY KEY, c BIGINT, v BIGINT) WITH (connector = 'filesystem', path = '{tmp_path}/in', format = 'debezium_json', type = 'source');
+    CREATE TABLE sums (c BIGINT PRIMARY KEY, n BIGINT, v BIGINT, most BIGINT, odd BIGINT) WITH (connector = 'filesystem', path = '{tmp_path}/sums', format = 'debezium_json', type = 'sink');
+    CREATE TABLE sizes (n BIGINT PRIMARY KEY, k BIGINT, most BIGINT) WITH (connector = 'filesystem', path = '{tmp_path}/sizes', format = 'debezium_json', type = 'sink');
+    CREATE TABLE who (c BIGINT PRIMARY KEY) WITH (connector = 'filesystem', path = '{tmp_path}/who', format = 'debezium_json', type = 'sink');
+    CREATE VIEW per AS SELECT c, count(*) AS n, sum(v) + 1 AS v, max(v) AS most, count(v) FILTER (WHERE v % 2 = 1) AS odd FROM o GROUP BY c;
+    INSERT INTO sums SELECT c, n, v, most, odd FROM per WHERE n > 2;
+    INSERT INTO sizes SELECT n, count(*) AS k, max(v) AS most FROM per GROUP BY n HAVING count(*) > 1;
+    INSERT INTO who SELECT DISTINCT c FROM o WHERE v > 100000;"""
+
+    def run():
+        engine = Engine(spark, live=True)
+        engine.run(script)
+        engine.start(str(tmp_path / "cp"))
+
+    run()
+    o.where("id % 3 = 0").selectExpr(f"{row('v')} as before", f"{none} as after", "'d' as op").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    o.where("id % 3 = 1").selectExpr(f"{row('v')} as before", f"{row('v + 7')} as after", "'u' as op").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    run()
+    left = o.where("id % 3 <> 0").withColumn("v", F.expr("if(id % 3 = 1, v + 7, v)"))
+    per = left.groupBy("c").agg(F.count("*").alias("n"), (F.sum("v") + 1).alias("v"), F.max("v").alias("most"), F.count_if(F.expr("v % 2 = 1")).alias("odd"))
+    assert replayed(spark, str(tmp_path / "sums"), "c: bigint, n: bigint, v: bigint, most: bigint, odd: bigint", ["c"]) == rows(per.where("n > 2"))
+    assert replayed(spark, str(tmp_path / "sizes"), "n: bigint, k: bigint, most: bigint", ["n"]) == rows(per.groupBy("n").agg(F.count("*").alias("k"), F.max("v").alias("most")).where("k > 1"))
+    assert replayed(spark, str(tmp_path / "who"), "c: bigint", ["c"]) == rows(left.where("v > 100000").select("c").distinct())
