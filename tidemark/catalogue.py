@@ -775,12 +775,24 @@ def ext_rollup(spark, d):
     return table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
 
 
-@query("""WITH c AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click'), p AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL)
-SELECT event_id, p.value AS value FROM c ASOF LEFT JOIN p ON c.user_id = p.user_id AND c.ts >= p.ts""")
-def ext_asof(spark, d):
+ASOF = """WITH c AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click'), p AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL)
+SELECT event_id, p.value AS value FROM c ASOF LEFT JOIN p ON c.user_id = p.user_id AND c.ts >= p.ts"""
+
+
+def last_purchase(spark, d, hours=None):
     e = events(spark, d)
     p = e.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
-    return joins.asof_join(e.where("event_type = 'click'").select("event_id", "user_id", "ts"), p, "user_id", "ts", "ts", "value").select("event_id", "value")
+    return joins.asof_join(e.where("event_type = 'click'").select("event_id", "user_id", "ts"), p, "user_id", "ts", "ts", "value", hours).select("event_id", "value")
+
+
+@query(ASOF)
+def ext_asof(spark, d):
+    return last_purchase(spark, d)
+
+
+@query(ASOF)
+def ext_asof_hot_keys(spark, d):
+    return last_purchase(spark, d, 6)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,9 +45,22 @@ def event_time_of(left: str, right: str) -> Column:
     return F.greatest(F.col(left), F.col(right))
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, value: str) -> DataFrame:
-    """For each left row the last value of right with the same key at or before its time; one union, one shuffle, no range join."""
-    both = left.select(F.col(key), F.col(left_ts).alias("_t"), F.lit(1).alias("_left"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
-    other = right.select(F.col(key), F.col(right_ts).alias("_t"), F.lit(0).alias("_left"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("r")).schema["r"].dataType).alias("_row"), F.col(value).alias("_v"))
-    w = Window.partitionBy(key).orderBy("_t", "_left").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.unionByName(other).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_left = 1").select("_row.*", F.col("_v").alias(value))
+def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, value: str, hours: int | None = None) -> DataFrame:
+    """For each left row the last non-null value of right with the same key at or before its time, of equal times the largest; no range join.
+
+    Null keys and times match nothing; left rows all stay. Without hours it is one union and one shuffle by the key, whose rows are one task.
+    hours: where a key may be hot, its rows are split by spans of so many hours. A span's last value is combined before the shuffle, and what
+    one span hands on to the next is found among these, a row a key and span, at the cost of reading the inputs twice."""
+    kinds = {"_row": left.select(F.struct(*left.columns).alias("r")).schema["r"].dataType, "_v": right.schema[value].dataType}
+    nothing = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    asks = left.select(F.col(key).alias("_k"), F.col(left_ts).alias("_t"), F.lit(1).alias("_left"), F.struct(*left.columns).alias("_row"), nothing("_v"))
+    told = right.select(F.col(key).alias("_k"), F.col(right_ts).alias("_t"), F.lit(0).alias("_left"), nothing("_row"), F.col(value).alias("_v")).where("_k is not null and _t is not null and _v is not null")
+    rows, by = asks.unionByName(told), ["_k"]
+    if hours:
+        rows, by = rows.withColumn("_b", F.floor((F.unix_date(F.col("_t").cast("date")) * 24 + F.hour("_t")) / hours)), ["_k", "_b"]
+        earlier = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        last = rows.where("_k is not null").groupBy("_k", "_b").agg(F.max(F.when(F.col("_left") == 0, F.struct("_t", "_v"))).alias("_x"))
+        handed = last.select("_k", "_b", F.last("_x", ignorenulls=True).over(earlier).alias("_x")).where("_x is not null and _b is not null")
+        rows = rows.unionByName(handed.select("_k", "_x._t", F.lit(0).alias("_left"), nothing("_row"), "_x._v", "_b"))
+    w = Window.partitionBy(*by).orderBy("_t", "_left", "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_left = 1").select("_row.*", F.col("_v").alias(value))
