@@ -14,6 +14,7 @@ from .operators import debezium, joins, topn, updating, windows
 from .plans.rewrite import rewrite
 from .plans.script import Engine
 from .session import scratch, table
+from .streaming import runner, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -795,5 +796,72 @@ def ext_asof_hot_keys(spark, d):
     return last_purchase(spark, d, 6)
 
 
+# the same on streams of several batches: what the sinks hold at the end of the input is what SQL gives
+
+
+def streamed(spark: SparkSession, df: DataFrame, at: str, name: str, files: int = 4) -> DataFrame:
+    """df as a stream that reads a file a batch, in any order of event time: nothing is late until the sentinel that comes last."""
+    path, schema = f"{at}/{name}", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    df.repartition(files).write.parquet(path)
+    if "ts" not in df.columns:
+        return runner.read_files(spark, path, schema)
+    runner.write_sentinel(spark, schema, "ts", path)
+    return runner.with_event_time(runner.read_files(spark, path, schema), "ts", "40000 days")
+
+
+def windows_of_stream(spark: SparkSession, at: str, df: DataFrame, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    runner.run_to_end(df, f"{at}/progress", runner.to_table(f"{at}/out", then))
+    out = spark.read.parquet(f"{at}/out").drop("batch")
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), F.col("window.end").cast("timestamp_ntz").alias("end"), *[c for c in out.columns if c != "window"])
+
+
+def timed(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return events(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), *columns)
+
+
+@query(ORACLE["tumble_count"])
+def stream_tumble(spark, d):
+    at = scratch(spark, "stream-tumble")
+    s = streamed(spark, timed(spark, d, "event_type"), at, "in")
+    return windows_of_stream(spark, at, windows.window_agg(s, windows.tumble("ts", "1 hour"), ["event_type"], F.count("*").alias("count"))).drop("end")
+
+
+@query(ORACLE["session_count"])
+def stream_session(spark, d):
+    at = scratch(spark, "stream-session")
+    s = streamed(spark, timed(spark, d, "user_id"), at, "in")
+    return windows_of_stream(spark, at, windows.window_agg(s, windows.session("ts", "6 hours"), ["user_id"], F.count("*").alias("n")))
+
+
+@query(ORACLE["topk_per_window"])
+def stream_topk_of_hops(spark, d):
+    at = scratch(spark, "stream-topk")
+    s = streamed(spark, timed(spark, d, "user_id"), at, "in")
+    counts = windows.window_agg(s, windows.hop("ts", "6 hours", "24 hours"), ["user_id"], F.count("*").alias("n"))
+    return windows_of_stream(spark, at, counts, lambda b: topn.top_k(b, 3, ["window"], [F.desc("n"), F.desc("user_id")]))
+
+
+@query(f"SELECT o_custkey, count(*)::BIGINT AS n, round(sum({PRICE}), 2) AS total, max({PRICE}) AS dearest, count(DISTINCT o_orderkey)::BIGINT AS kinds FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY o_custkey")
+def stream_updating_changelog(spark, d):
+    """Aggregates of a changelog read as a stream, replayed from the changelog that they give."""
+    at, log = scratch(spark, "stream-updating"), order_changes(spark, d)
+    for n in (1, 2, 3):  # a batch each: rows, their updates, their deletions
+        log.where(F.col("seq") == n).drop("seq").coalesce(1).write.mode("append").parquet(f"{at}/in")
+    s = debezium.unroll(runner.read_files(spark, f"{at}/in", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.drop("seq").schema)), ["o_orderkey"])
+    a = stateful.updating_aggregate(s, ["o_custkey"], {"n": ("count", None), "total": ("sum", "o_totalprice"), "dearest": ("max", "o_totalprice"), "kinds": ("count_distinct", "o_orderkey")})
+    runner.run_to_end(a, f"{at}/progress", stateful.to_changelog(f"{at}/out", ["o_custkey"]))
+    return debezium.replay(spark.read.parquet(f"{at}/out"), ["o_custkey"], "batch").withColumn("total", F.round("total", 2))
+
+
+@query("SELECT n, count(*)::BIGINT AS users, min(last) AS least, max(last) AS most FROM (SELECT user_id, count(*)::BIGINT AS n, max(event_id) AS last FROM events GROUP BY user_id) GROUP BY n")
+def stream_updating_over_updating(spark, d):
+    """How many users have how many events: the outer aggregate lives on the retractions of the inner one."""
+    at = scratch(spark, "stream-nested")
+    inner = stateful.updating_aggregate(streamed(spark, events(spark, d).select("user_id", "event_id"), at, "in"), ["user_id"], {"n": ("count", None), "last": ("max", "event_id")})
+    outer = stateful.updating_aggregate(inner, ["n"], {"users": ("count", None), "least": ("min", "last"), "most": ("max", "last")})
+    runner.run_to_end(outer, f"{at}/progress", stateful.to_changelog(f"{at}/out", ["n"]))
+    return debezium.replay(spark.read.parquet(f"{at}/out"), ["n"], "batch")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["topk_per_window"](spark, sf_dir)

@@ -4,7 +4,7 @@ The input may carry _updating_meta; so does the output, as retract / append rows
 by key within each Arrow batch before the shuffle: a hot key costs a row for each batch of its rows. Counts, sums and averages
 are kept as totals. Minimum, maximum and distinct count of an input that can be retracted need each value's count, held in the state store
 beside the key and walked only if the key changes; of append-only input the extreme itself is enough. Sums of doubles are added and taken
-away again, so that rounding errors stay; DECIMAL is exact."""
+away again, so that rounding errors stay until a key has no rows; DECIMAL is exact. A row's retraction must not come in an earlier batch than the row."""
 
 from __future__ import annotations
 
@@ -70,7 +70,7 @@ class _Aggregate(StatefulProcessor):
                     self.values[i].removeKey((value,))
         new = tuple(self._value(i, n, slots[i]) for i in range(k)) if n > 0 else ()
         yield from self._events(key, out, old, n > 0, new)
-        if n == 0 and not any(s[1] for s in slots):
+        if n == 0 and not any(s[1] or s[0] and not isinstance(s[0], float) for s in slots) and all(next(v.iterator(), None) is None for v in self.values.values()):
             self._forget()
             return
         now = timerValues.getCurrentProcessingTimeInMs() if self.ttl else 0
