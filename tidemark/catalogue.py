@@ -799,13 +799,13 @@ def ext_asof_hot_keys(spark, d):
 # the same on streams of several batches: what the sinks hold at the end of the input is what SQL gives
 
 
-def streamed(spark: SparkSession, df: DataFrame, at: str, name: str, files: int = 4) -> DataFrame:
+def streamed(spark: SparkSession, df: DataFrame, at: str, name: str, files: int = 4, sentinel: dict | None = None) -> DataFrame:
     """df as a stream that reads a file a batch, in any order of event time: nothing is late until the sentinel that comes last."""
     path, schema = f"{at}/{name}", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
     df.repartition(files).write.parquet(path)
     if "ts" not in df.columns:
         return runner.read_files(spark, path, schema)
-    runner.write_sentinel(spark, schema, "ts", path)
+    runner.write_sentinel(spark, schema, "ts", path, values=sentinel)
     return runner.with_event_time(runner.read_files(spark, path, schema), "ts", "40000 days")
 
 
@@ -841,6 +841,16 @@ def stream_topk_of_hops(spark, d):
     return windows_of_stream(spark, at, counts, lambda b: topn.top_k(b, 3, ["window"], [F.desc("n"), F.desc("user_id")]))
 
 
+@query(f"""WITH c AS (SELECT {HOUR} AS start, user_id, count(*)::BIGINT AS clicks FROM events WHERE event_type = 'click' GROUP BY ALL), p AS (SELECT {HOUR} AS start, user_id, count(*)::BIGINT AS purchases FROM events WHERE event_type = 'purchase' GROUP BY ALL)
+SELECT start, user_id, clicks, purchases FROM c JOIN p USING (start, user_id)""")
+def stream_window_join(spark, d):
+    at, sides = scratch(spark, "stream-join"), []
+    for kind, name in (("click", "clicks"), ("purchase", "purchases")):
+        s = streamed(spark, timed(spark, d, "user_id", "event_type").where(F.col("event_type") == kind).drop("event_type"), at, name, sentinel={"user_id": 0})
+        sides.append(windows.window_agg(s, windows.tumble("ts", "1 hour"), ["user_id"], F.count("*").alias(name)))
+    return windows_of_stream(spark, at, joins.window_join(*sides, ["user_id"])).drop("end")
+
+
 @query(f"SELECT o_custkey, count(*)::BIGINT AS n, round(sum({PRICE}), 2) AS total, max({PRICE}) AS dearest, count(DISTINCT o_orderkey)::BIGINT AS kinds FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY o_custkey")
 def stream_updating_changelog(spark, d):
     """Aggregates of a changelog read as a stream, replayed from the changelog that they give."""

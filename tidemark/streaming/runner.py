@@ -22,9 +22,10 @@ def with_event_time(df: DataFrame, ts: str, delay: str = "1 second") -> DataFram
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
-def write_sentinel(spark: SparkSession, schema: str, ts: str, path: str, fmt: str = "parquet") -> None:
-    """Adds a row that lies beyond every window, so that a bounded stream's last windows close. Its own window never does."""
-    row = spark.range(1).select(*[F.lit(SENTINEL if f.name == ts else None).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], schema).schema])
+def write_sentinel(spark: SparkSession, schema: str, ts: str, path: str, fmt: str = "parquet", values: dict | None = None) -> None:
+    """Adds a row that lies beyond every window, so that a bounded stream's last windows close. Its own window never does.
+    values: columns that mustn't be null, such as the keys of an inner join: rows that a filter drops first don't move the watermark."""
+    row = spark.range(1).select(*[F.lit(SENTINEL if f.name == ts else (values or {}).get(f.name)).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], schema).schema])
     row.write.mode("append").format(fmt).save(path)
 
 
