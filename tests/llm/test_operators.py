@@ -345,6 +345,26 @@ def test_chaining_recall_of_edited_passages(spark, share, words, least):
     assert sum(i != c for i, c in classes[0].items()) <= len(pairs)
 
 
+def test_chaining_links_texts_whose_seeds_are_held_by_many(spark, monkeypatch):
+    rnd = random.Random(12)
+    some = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    x, line = some(60), some(45)
+    edited = lambda at: [w if i % 20 != at else "edited" for i, w in enumerate(x)]
+    held = [(i, some(20) + x[a : a + 20] + some(20)) for i, a in enumerate([*range(0, 41, 8)] * 20)]  # 20 words: too few for a passage
+    rows = [(10 * i + 5, t) for i, t in held] + [(100, some(30) + edited(9) + some(30)), (1000, some(30) + edited(13) + some(30))]
+    rows += [(2000 + i, some(25) + line + some(25)) for i in range(15)]
+    rows += [(2100 + i, rows[-1][1]) for i in range(3)]
+    rows += [(3000 + i, ["same"] * (200 + i) + some(40)) for i in range(15)]
+    got = [chained_rows(spark, rows, 2)]
+    monkeypatch.setattr(chaining, "FULL", 10_000)  # every seed is matched where it is
+    got.append(chained_rows(spark, rows, 3))
+    for g in got:
+        assert g[1000].class_id == g[100].class_id == 100 and (g[100].n_links, g[1000].n_links) == (1, 1)
+        assert all(g[10 * i + 5].class_id == 10 * i + 5 and g[10 * i + 5].n_links == 0 for i, _ in held)
+        assert {(r.class_id, r.n_links) for i, r in g.items() if 2000 <= i < 3000} == {(2000, 17)}
+        assert {(r.class_id, r.n_links) for i, r in g.items() if i >= 3000} == {(3000, 14)}
+
+
 def test_edit_distance_in_a_band():
     rnd = random.Random(2)
     for _ in range(150):
