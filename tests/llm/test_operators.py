@@ -425,6 +425,20 @@ def test_chroma_finds_all_pairs_within_the_error(spark):
     assert got == {(i, 100 + i): (7, 0.15625) for i in range(12)}
 
 
+def test_chroma_compares_queries_together():
+    rng = np.random.default_rng(8)
+    rows = rng.integers(0, 1 << 32, (50, 40), dtype=np.uint32)
+    queries = rng.integers(0, 1 << 32, (9, 46), dtype=np.uint32)
+    for a in range(9):  # shifted copies with differing bits, on both sides of the limit
+        rows[4:, 4 * a] = queries[a] ^ np.uint32(1) ^ rows[4:, 39] % np.uint32(1 << a)
+        rows[:30, 4 * a + 1] = queries[a, 16:] ^ (rows[:30, 38] & np.uint32(0x11111111))
+    got = chroma.compared_at_once(queries, rows, chroma.signed(rows.T))
+    want = [chroma.compared(x, rows, chroma.paired(rows)) for x in queries]
+    ok = got[0] <= chroma.MAX_ERROR
+    assert ok.sum() >= 9 and (ok == [x[0] <= chroma.MAX_ERROR for x in want]).all()
+    assert all((got[j][a][ok[a]] == want[a][j][ok[a]]).all() for a in range(9) for j in (0, 1))
+
+
 def test_chroma_recall_against_all_offsets(spark):
     prints = chroma.fingerprints(chroma.rendered(spark.read.parquet(f"{SF}/embeddings.parquet"), "vec_id", "embedding")).collect()
     prints = {r.id: np.array(r.prints, np.int32).view(np.uint32) for r in prints}

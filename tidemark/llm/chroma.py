@@ -5,8 +5,9 @@ classes read from an integral image, are quantised to two bits each and packed i
 Two recordings are aligned by seeds, integers that differ in no more than MAX_ERROR of their bits (an offset whose share of differing bits
 is accepted has one at least): the seeds' offsets form a histogram, every offset in it is tried, the one with the least share of
 differing bits over the overlap is taken (of equal ones that with the most seeds), and that share decides. So no pair is missed that some offset accepts. Equal integers as seeds would miss most of the accepted range, and keys of
-few enough bits to find it meet in nearly every pair, so a query is compared with every recording, block by block: the work is queries x
-recordings, only pairs that align leave a task.
+few enough bits to find it meet in nearly every pair, so a query is compared with every recording, a block of queries with a block of
+recordings by products of their bits' signs (recordings of more than LONG integers query by query): the work is queries x recordings, only
+pairs that align leave a task.
 
 The tables hold no audio, so `render` plays each vector of `embeddings` as a tune: one note for each component. Null and empty vectors
 and recordings shorter than one filter have no integers: they form one class and link to nothing. Repeated recordings have the same
@@ -33,6 +34,7 @@ CUTS = (-0.08, 0.0, 0.08)
 SPAN = 16  # frames that the widest filter takes
 MAX_ERROR, MIN_OVERLAP = 0.18, 24
 BLOCK = 512  # recordings that are compared at once
+LONG = 512  # integers of a recording up to which queries are compared together
 
 
 def render(vector: np.ndarray) -> bytes:
@@ -150,6 +152,36 @@ def compared(query: np.ndarray, rows: np.ndarray, pairs: np.ndarray) -> tuple[np
     return error, best
 
 
+def signed(x: np.ndarray) -> np.ndarray:
+    """Bits of integers (recordings, integers) as 1 and -1, one after another."""
+    bits = np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1), axis=1)
+    return bits.astype(np.float32) * np.float32(2) - np.float32(1)
+
+
+def compared_at_once(queries: np.ndarray, rows: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As compared, for queries of one length together (by row): products of signs are equal bits less differing ones, whole numbers that a float holds.
+
+    signs: signed(rows.T)."""
+    n, m = queries.shape[1], len(rows)
+    asked, queries = signed(queries), queries.T
+    shape = asked.shape[0], rows.shape[1]
+    error, best, most = np.full(shape, 2.0), np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+    for offset in sorted(range(MIN_OVERLAP - n, m - MIN_OVERLAP + 1), key=lambda o: (abs(o), -o)):
+        q, r = max(0, -offset), max(0, offset)
+        overlap = min(n - q, m - r)
+        if overlap < MIN_OVERLAP:
+            continue
+        product = asked[:, 32 * q : 32 * (q + overlap)] @ signs[:, 32 * r : 32 * (r + overlap)].T
+        a, i = np.nonzero(product >= 32 * overlap * (1 - 2 * (MAX_ERROR + 1e-6)))
+        if len(i):
+            bits = np.bitwise_count(rows[r : r + overlap, i] ^ queries[q : q + overlap, a])
+            seeds, e = (bits <= int(32 * MAX_ERROR)).sum(0), bits.sum(0, dtype=np.uint32) / (32 * overlap)
+            better = (seeds > 0) & ((e < error[a, i]) | ((e == error[a, i]) & (seeds > most[a, i])))
+            k = a[better], i[better]
+            error[k], best[k], most[k] = e[better], offset, seeds[better]
+    return error, best
+
+
 def alignments(classes: DataFrame, queries: DataFrame) -> DataFrame:
     """query, other, offset, bit_error for every pair of classes whose best offset has few enough differing bits.
 
@@ -175,17 +207,24 @@ def alignments(classes: DataFrame, queries: DataFrame) -> DataFrame:
         for pdf in batches:
             for q, o in zip(pdf["q"], pdf["o"]):
                 (asks, wanted), (ids, prints) = opened(q), opened(o)
-                length = np.array([len(p) for p in prints])
+                length, asked = np.array([len(p) for p in prints]), np.array([len(p) for p in wanted])
                 for n in np.unique(length):
                     at = np.flatnonzero(length == n)
                     rows = np.ascontiguousarray(np.array([prints[i] for i in at]).T)
-                    pairs = paired(rows)
-                    for ask, query in zip(asks, wanted):
-                        error, offset = compared(query, rows, pairs)
-                        ok = np.flatnonzero((np.round(error, 6) <= MAX_ERROR) & (ids[at] != ask))
+                    signs = signed(rows.T) if n <= LONG else None
+                    for m in np.unique(asked):
+                        by = np.flatnonzero(asked == m)
+                        queries = np.array([wanted[i] for i in by])
+                        if n <= LONG and m <= LONG:
+                            error, offset = compared_at_once(queries, rows, signs)
+                        else:
+                            pairs = paired(rows)
+                            error, offset = map(np.array, zip(*(compared(x, rows, pairs) for x in queries)))
+                        a, ok = np.nonzero((np.round(error, 6) <= MAX_ERROR) & (ids[at] != asks[by][:, None]))
                         if len(ok):
-                            yield pd.DataFrame({"query": ask, "other": ids[at[ok]], "offset": offset[ok].astype(np.int32), "bit_error": np.round(error[ok], 6)})
+                            yield pd.DataFrame({"query": asks[by[a]], "other": ids[at[ok]], "offset": offset[a, ok].astype(np.int32), "bit_error": np.round(error[a, ok], 6)})
 
+    queries = queries.repartition(-(-queries.count() // BLOCK) or 1)  # full blocks: the more queries at once, the less each costs
     pairs = blocks(queries, "q").crossJoin(blocks(classes, "o")).repartition(width(classes.sparkSession))
     return pairs.mapInPandas(run, "query long, other long, offset int, bit_error double")
 
