@@ -1,6 +1,8 @@
 import hashlib
 import random
 import re
+import time
+import unicodedata
 from collections import Counter
 
 import duckdb
@@ -198,6 +200,24 @@ def test_langid_knows_letters_only(spark):
     assert got[900] == ("und", 0.0) and got[901][0] in ("de", "en")
 
 
+def test_langid_words_by_categories_in_little_time():
+    rnd = random.Random(2)
+    x = "".join(rnd.choice("abé ü½²Ⅷ٣_-'ßЖ\u0301漢𝟙🄂") for _ in range(5000))
+    want = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in x).split()
+    assert langid.words_in(x) == want and langid.words_in("naïve " * 3) == ["naïve"] * 3 and langid.words_in(None) == langid.words_in("½") == []
+    text = "größere Häuser " * 20_000
+
+    def least(f):
+        took = []
+        for _ in range(3):
+            began = time.thread_time()
+            f(text)
+            took.append(time.thread_time() - began)
+        return min(took)
+
+    assert least(langid.words_in) < 4 * least(langid.WORD.findall)
+
+
 def test_samples_stay_bounded_when_ids_repeat(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE", 5)
     monkeypatch.setattr(langid, "PER_LANG", 3)
