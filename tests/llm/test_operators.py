@@ -419,6 +419,57 @@ def test_edit_distance_far_off_the_diagonal():
             assert chaining.distance(x, y) == row[-1] and chaining.distance(x, y, 20) == min(row[-1], 21)
 
 
+def test_chaining_pairs_no_texts_that_share_but_a_short_line(spark):
+    rnd = random.Random(14)
+    some = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    line, x = some(13), some(40)
+    texts = [some(50) + line + some(300) + line + some(50) for _ in range(60)]
+    texts += [some(30) + x[:20] + line + x[20:] + some(30) for _ in range(2)]
+    held = []
+    for i, t in enumerate(texts):
+        k, at = chaining.seeds(chaining.word_hashes(" ".join(t).encode()))
+        held.append({"k": k, "d": np.full(len(k), i), "h": np.full(len(k), i), "a": at.astype(np.int32)})
+    x = chaining.occurrences({c: np.concatenate([y[c] for y in held]) for c in chaining.SEED})
+    first, size = chaining.groups(x)
+    x["s"] = (x["h"] == x["h"][first]).astype(np.int8)
+    x = {c: y[size > 1] for c, y in x.items()}
+    none = {c: np.zeros(0, t) for c, t in chaining.MATCH.items()}
+    pairs = {(d, rd) for m, _ in chaining.met(0, 1, x, none) for d, rd in zip(m["d"].tolist(), m["rd"].tolist())}
+    # of 1,891 pairs with the line
+    assert (61, 60) in pairs and len(pairs) <= 3 * len(texts)
+    got = chained_rows(spark, list(enumerate(texts)))
+    assert {i for i, r in got.items() if r.n_links} == {60, 61}
+
+
+def test_chaining_of_many_pairs_at_once_is_that_of_each(monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = sorted({(int(q), int(p), int(r)) for q in range(60) for p, r in zip(rng.integers(0, 60, q * 2 + 2), rng.integers(0, 60, q * 2 + 2))})
+    pair, p, r = np.array(rows).T
+
+    def found():
+        c = chaining.chains(pair, p, r)
+        cuts = np.flatnonzero(c["gap"] < 0)[1:]
+        rows = np.column_stack([pair[c["at"]], *(c[k] for k in ("p0", "p1", "r0", "r1", "gap"))])
+        return sorted(x.tolist() for x in np.split(rows, cuts))
+
+    got = found()
+    monkeypatch.setattr(chaining, "MANY", 1)  # pair by pair
+    assert len(got) > 100 and max(map(len, got)) > 2 and got == found()
+
+
+def test_edit_distance_by_bits():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 40, 63, 64, 65, 130):
+        for _ in range(20):
+            x, y = rng.integers(0, 4, n), rng.integers(0, 4, n + rng.integers(20))
+            row = np.arange(len(y) + 1)
+            for i, v in enumerate(x):
+                new = np.minimum(row[:-1] + (y != v), row[1:] + 1)
+                row = np.minimum.accumulate(np.concatenate([[i + 1], new]) - np.arange(len(y) + 1)) + np.arange(len(y) + 1)
+            assert chaining.bit_edits(x, y, len(y)) == row[-1] and chaining.bit_edits(x, y, int(row[-1])) == row[-1]
+            assert chaining.bit_edits(x, y, int(row[-1]) - 1) is None and chaining.distance(x, y, few=0) == row[-1]
+
+
 def test_chroma_aligns_recordings(spark):
     rng = np.random.default_rng(0)
     v = [rng.normal(size=64) for _ in range(20)]
