@@ -457,6 +457,18 @@ def test_chaining_of_many_pairs_at_once_is_that_of_each(monkeypatch):
     assert len(got) > 100 and max(map(len, got)) > 2 and got == found()
 
 
+def test_forest_connects_what_all_edges_connect(spark):
+    rnd = random.Random(15)
+    groups = [range(100 * g, 100 * g + 40 + g) for g in range(5)]
+    every = [(a, b) for g in groups for a in g for b in g if a > b]
+    rnd.shuffle(every)
+    edges = spark.createDataFrame(every, "a long, b long").repartition(3)
+    few = graph.forest(edges)
+    assert few.count() <= 3 * sum(len(g) - 1 for g in groups) < len(every)
+    assert {tuple(r) for r in graph.components(few, "test").collect()} == {(x, g[0]) for g in groups for x in g}
+    assert graph.forest(edges.limit(0)).count() == 0
+
+
 def test_edit_distance_by_bits():
     rng = np.random.default_rng(6)
     for n in (1, 2, 40, 63, 64, 65, 130):
