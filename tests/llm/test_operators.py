@@ -441,6 +441,24 @@ def test_chaining_pairs_no_texts_that_share_but_a_short_line(spark):
     assert {i for i, r in got.items() if r.n_links} == {60, 61}
 
 
+def test_chaining_writes_each_hot_block_once(spark, monkeypatch):
+    """What the tasks of pairs of texts read is written once for each text, however many blocks there are."""
+    rnd = random.Random(16)
+    some = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    line = some(45)
+    docs = spark.createDataFrame([(i, " ".join(some(25) + line + some(25)), i * 7919) for i in range(40)], "doc_id long, text string, h long")
+    written, real = {}, chaining.materialize
+    monkeypatch.setattr(chaining, "materialize", lambda df, tag: written.setdefault(tag, real(df, tag)))
+    monkeypatch.setattr(chaining, "shards", lambda docs: 45)  # nine blocks
+    found, _ = chaining.passages(docs)
+    assert found.where("n_words = 95").count() == 40 and found.where("size(passages) > 0").count() == 39
+    hot = [chaining.unpack(r.block, chaining.HOT)[0] for r in written["chaining-places"].where("o < 0").collect()]
+    places = [x for c in hot for x in zip(c["k"].tolist(), c["h"].tolist(), c["a"].tolist())]
+    assert len(places) == len(set(places)) > 40
+    cells = chaining.cells_of(written["chaining-places"], 9)
+    assert sorted((r.p, r.o) for r in cells.collect()) == [(p, o) for p in range(9) for o in range(p + 1)]
+
+
 def test_chaining_of_many_pairs_at_once_is_that_of_each(monkeypatch):
     rng = np.random.default_rng(5)
     rows = sorted({(int(q), int(p), int(r)) for q in range(60) for p, r in zip(rng.integers(0, 60, q * 2 + 2), rng.integers(0, 60, q * 2 + 2))})
