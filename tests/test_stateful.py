@@ -60,6 +60,57 @@ def test_global_aggregate_of_a_changelog(spark, tmp_path):
     assert got == [("c", None, (2, 10, 5)), ("u", (2, 10, 5), (1, 20, 20)), ("d", (1, 20, 20), None)]
 
 
+def test_values_of_a_key_are_read_and_written_with_it():
+    """However many values of a key a batch has, the state store is asked once and told once."""
+    from pyspark.sql import Row
+    from pyspark.sql import types as T
+
+    class Store:
+        def __init__(self):
+            self.value, self.calls = None, 0
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self
+
+        def getMapState(self, name, key, value):  # noqa: N802
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+        def __getattr__(self, name):
+            raise AssertionError(f"{name}: a call for a value")
+
+    store, kinds = Store(), [T.LongType()] * 3
+    p = stateful._Aggregate([("count", "rows"), ("max", "values"), ("count_distinct", "values")], kinds, kinds, ["k", "n", "most", "kinds", "r"], None)
+    p.init(store)
+    row = lambda v, n: Row(_n=n, _t1=v, _c1=n, _t2=v, _c2=n)
+    assert [tuple(r) for r in p.handleInputRows((1,), iter([row(v, 1) for v in range(500)]), None)] == [(1, 500, 499, 500, False)]
+    assert [tuple(r) for r in p.handleInputRows((1,), iter([row(499, -1), row(7, 1)]), None)] == [(1, 500, 499, 500, True), (1, 500, 498, 499, False)]
+    assert store.calls == 4
+
+
+@pytest.mark.parametrize("inline", [0, 2, 4096])
+def test_few_and_many_values_of_a_key_give_the_same(spark, tmp_path, monkeypatch, inline):
+    monkeypatch.setattr(stateful, "INLINE", inline)
+    schema = "before struct<id: bigint, k: bigint, v: double>, after struct<id: bigint, k: bigint, v: double>, op string"
+    row = lambda i, v: {"id": i, "k": i % 2, "v": v}
+    first = [(None, row(i, float("nan") if i in (3, 5) else i / 2), "c") for i in range(9)]
+    then = [(row(8, 4.0), row(8, 1.0), "u"), (row(7, 3.5), None, "d"), (row(3, float("nan")), row(3, 2.5), "u")]
+    for log in (first, then, [(row(i, v), None, "d") for i, v in ((0, 0.0), (2, 1.0), (4, 2.0), (6, 3.0), (8, 1.0))]):
+        spark.createDataFrame(log, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = debezium.unroll(runner.read_files(spark, str(tmp_path / "in"), schema), ["id"])
+    a = stateful.updating_aggregate(s, ["k"], {"n": ("count", None), "least": ("min", "v"), "kinds": ("count_distinct", "v")})
+    runner.run_to_end(a, str(tmp_path / "cp"), stateful.to_changelog(str(tmp_path / "out"), ["k"]))
+    log = [(r.batch, r.op, r.after and tuple(r.after)[:4]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(log, key=str) == [(0, "c", (0, 5, 0.0, 5)), (0, "c", (1, 4, 0.5, 3)), (1, "u", (0, 5, 0.0, 4)), (1, "u", (1, 3, 0.5, 3)), (2, "d", None)]
+
+
 def test_idle_keys_are_retracted_and_start_anew(spark, tmp_path):
     path, got = str(tmp_path / "in"), []
     for keys in (["a", "b"], ["b"], ["a", "b"]):

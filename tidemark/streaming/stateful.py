@@ -2,12 +2,14 @@
 
 The input may carry _updating_meta; so does the output, as retract / append rows, so that one such aggregate can read another. Rows are combined
 by key within each Arrow batch before the shuffle: a hot key costs a row for each batch of its rows. Counts, sums and averages
-are kept as totals. Minimum, maximum and distinct count of an input that can be retracted need each value's count, held in the state store
-beside the key and walked only if the key changes; of append-only input the extreme itself is enough. Sums of doubles are added and taken
+are kept as totals. Minimum, maximum and distinct count of an input that can be retracted need each value's count, walked only if the key changes: up to
+INLINE values are part of the key's own state, so that a key is read and written once a batch, and more are held in the state store
+beside the key, each read and written by itself; of append-only input the extreme itself is enough. Sums of doubles are added and taken
 away again, so that rounding errors stay until a key has no rows; DECIMAL is exact. A row's retraction must not come in an earlier batch than the row."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -21,22 +23,26 @@ from ..operators.windows import micros
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 META = "_updating_meta"
+#: Values of a key up to which their counts are in the key's own state; the result is the same.
+INLINE = 4096
+NAN = float("nan")
 #: function -> the function of the batch engine, which fixes its type
 FUNCTIONS = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count_distinct": F.count_distinct}
 
 
 class _Aggregate(StatefulProcessor):
-    """State "totals": rows, time of the last change, whether a row is out, that row's values, then each slot's. "values<i>": a value's count."""
+    """State "totals": rows, time of the last change, whether a row is out, that row's values, then each slot's. "values<i>": a value's count,
+    of slots with more than INLINE values. Other slots with values have them and their counts, pickled, in the totals; b"" there: they are in "values<i>"."""
 
     def __init__(self, slots: list[tuple[str, str]], types: list[T.DataType], held: list[T.DataType], names: list[str], ttl: int | None):
-        self.slots, self.types, self.held, self.names, self.ttl = slots, types, held, names, ttl
+        self.slots, self.types, self.held, self.names, self.ttl, self.inline = slots, types, held, names, ttl, INLINE
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         fields = [T.StructField("n", T.LongType()), T.StructField("seen", T.LongType()), T.StructField("out", T.BooleanType())]
         fields += [T.StructField(f"o{i}", t) for i, t in enumerate(self.types)]
         for i, (_, how) in enumerate(self.slots):
-            fields += [T.StructField(f"t{i}", self.held[i]), T.StructField(f"c{i}", T.LongType())]
+            fields += [T.StructField(f"t{i}", T.BinaryType() if how == "values" else self.held[i]), T.StructField(f"c{i}", T.LongType())]
         self.totals = handle.getValueState("totals", T.StructType(fields))
         count = T.StructType([T.StructField("n", T.LongType())])
         self.values = {i: handle.getMapState(f"values{i}", T.StructType([T.StructField("v", self.held[i])]), count) for i, (_, how) in enumerate(self.slots) if how == "values"}
@@ -60,17 +66,12 @@ class _Aggregate(StatefulProcessor):
                 elif how == "extreme":
                     slot[0] = value if slot[0] is None else min(slot[0], value) if function == "min" else max(slot[0], value)
                 else:
+                    value = value if value == value else NAN  # one key of a dict
                     changed[i][value] = changed[i].get(value, 0) + row[f"_c{i}"]
-        for i, counts in changed.items():
-            for value, c in counts.items():
-                had = self.values[i].getValue((value,)) if self.values[i].containsKey((value,)) else (0,)
-                if had[0] + c:
-                    self.values[i].updateValue((value,), (had[0] + c,))
-                elif had[0]:
-                    self.values[i].removeKey((value,))
-        new = tuple(self._value(i, n, slots[i]) for i in range(k)) if n > 0 else ()
+        live = {i: self._changed(i, slots[i], counts) for i, counts in changed.items()}
+        new = tuple(self._value(i, n, slots[i], live.get(i)) for i in range(k)) if n > 0 else ()
         yield from self._events(key, out, old, n > 0, new)
-        if n == 0 and not any(s[1] or s[0] and not isinstance(s[0], float) for s in slots) and all(next(v.iterator(), None) is None for v in self.values.values()):
+        if n == 0 and not any(s[1] or s[0] and not isinstance(s[0], float) for s in slots) and all(next(v.iterator(), None) is None for i, v in self.values.items() if slots[i][0] == b""):
             self._forget()
             return
         now = timerValues.getCurrentProcessingTimeInMs() if self.ttl else 0
@@ -97,14 +98,37 @@ class _Aggregate(StatefulProcessor):
         for v in self.values.values():
             v.clear()
 
-    def _value(self, i: int, n: int, slot: list):
+    def _changed(self, i: int, slot: list, counts: dict) -> dict | None:
+        """The slot's values and their counts once these counts are added, None if they are in the state store beside the key."""
+        if slot[0] != b"":
+            had = {} if slot[0] is None else {v if v == v else NAN: c for v, c in pickle.loads(slot[0]).items()}
+            for value, c in counts.items():
+                had[value] = had.get(value, 0) + c
+                if not had[value]:
+                    del had[value]
+            if len(had) <= self.inline:
+                slot[0] = pickle.dumps(had) if had else None
+                return had
+            slot[0] = b""
+            for value, c in had.items():
+                self.values[i].updateValue((value,), (c,))
+            return None
+        for value, c in counts.items():
+            had = self.values[i].getValue((value,)) if self.values[i].containsKey((value,)) else (0,)
+            if had[0] + c:
+                self.values[i].updateValue((value,), (had[0] + c,))
+            elif had[0]:
+                self.values[i].removeKey((value,))
+        return None
+
+    def _value(self, i: int, n: int, slot: list, held: dict | None):
         function, how = self.slots[i]
         if how == "rows":
             return n
         if function == "count":
             return slot[1]
         if how == "values":
-            live = (v[0] for v, c in self.values[i].iterator() if c[0] > 0)
+            live = (v[0] for v, c in self.values[i].iterator() if c[0] > 0) if held is None else (v for v, c in held.items() if c > 0)
             return sum(1 for _ in live) if function == "count_distinct" else (min if function == "min" else max)(live, default=None)
         if how == "extreme":
             return slot[0]
